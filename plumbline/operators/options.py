@@ -157,13 +157,11 @@ def option_table(records: DataFrame) -> DataFrame:
         fields.append(letter_probability(letter, i).alias("fcm_prob"))
         return F.struct(*fields)
 
+    def values_of(rows: Column, metric: str) -> Column:
+        return F.transform(rows, lambda r: r.getField(metric))
+
     def rank(rows: Column) -> Column:
-        columns = F.struct(
-            *[
-                F.transform(rows, lambda r, m=m: r.getField(m)).alias(m)
-                for m in RANKED_ASCENDING
-            ]
-        )
+        columns = F.struct(*[values_of(rows, m).alias(m) for m in RANKED_ASCENDING])
         names = ["letter", *METRIC_ALIASES, "fcm_prob"]
         return let(
             columns,
