@@ -210,14 +210,14 @@ def open_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _logits(scale: float = 8.0):
+def scaled_logits(scale: float = 8.0) -> Column:
     return F.transform("embedding", lambda v: v.cast("double") * scale)
 
 
 def last_step_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trace(qid, step, logits): eight steps per question, some with a non-finite element."""
     vec = F.col("vec_id")
-    plain = _logits()
+    plain = scaled_logits()
     broken = F.concat(F.array(F.lit(float("nan"))), F.slice(plain, 2, 63))
     infinite = F.concat(F.array(F.lit(float("-inf"))), F.slice(plain, 2, 63))
     return table(spark, sf_dir, "embeddings").select(
@@ -241,7 +241,7 @@ def response_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         letter_at(letter_ix).alias("letter"),
         F.when(F.floor(vec / 5) % 2 == 0, "cond").otherwise("uncond").alias("role"),
         (vec % 5).cast("int").alias("pos"),
-        _logits().alias("logits"),
+        scaled_logits().alias("logits"),
         ((vec * 7) % 64).cast("int").alias("target_id"),
         ((question + letter_ix) % 3).cast("int").alias("prompt_len"),
         F.lit(5).alias("total_len"),
