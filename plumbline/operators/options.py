@@ -23,7 +23,6 @@ METRIC_ALIASES: dict[str, tuple[str, ...]] = {
     "e_letter": ("llmc_letter_ce_cond", "llmc_letter_logit_entropy_mean", "e_letter"),
     "e_content": ("llmc_content_logit_entropy_mean", "e_content"),
     "icrp_reliable": ("icrp_reliable",),
-    "icrp_rel": ("icrp_reliable",),
     "icrp_prompt_mass_mean": ("icrp_prompt_mass_mean", "icrp_pmass"),
     "icrp_pool_attn_cons": ("icrp_pool_attn_cons", "icrp_attn"),
     "icrp_time_delta_mean": ("icrp_time_delta_mean",),
@@ -31,8 +30,12 @@ METRIC_ALIASES: dict[str, tuple[str, ...]] = {
     "icrp_interlayer_cos_mean": ("icrp_interlayer_cos_mean",),
     "icrp_temporal_cos_mean": ("icrp_temporal_cos_mean",),
     "icrp_resp_len": ("icrp_resp_len",),
-    "icrp_pmass": ("icrp_prompt_mass_mean", "icrp_pmass"),
-    "icrp_attn": ("icrp_pool_attn_cons", "icrp_attn"),
+}
+# Columns that repeat another metric under an older name.
+REPEATED_METRICS: dict[str, str] = {
+    "icrp_rel": "icrp_reliable",
+    "icrp_pmass": "icrp_prompt_mass_mean",
+    "icrp_attn": "icrp_pool_attn_cons",
 }
 # Ranked metric -> True when the smallest value ranks first.
 RANKED_ASCENDING: dict[str, bool] = {
@@ -118,10 +121,11 @@ def letter_probability(letter: Column, position: Column) -> Column:
     )
     aligned = F.coalesce(F.size(names) == F.size(values), F.lit(False)) & values.isNotNull()
     slot = F.array_position(F.transform(names, F.upper), letter)
-    return finite(
+    return let(
         F.when(in_map, by_map)
         .when(aligned, F.when(slot > 0, F.get(values, (slot - 1).cast("int"))))
-        .otherwise(F.get(values, position))
+        .otherwise(F.get(values, position)),
+        finite,
     )
 
 
@@ -132,55 +136,39 @@ def _min_rank(values: Column, own: Column, ascending: bool) -> Column:
 
 
 def option_table(records: DataFrame) -> DataFrame:
-    """Records to long options with metrics, ranks and the gold flag, all inside each row.
+    """Records to long options with metrics, ranks and the gold flag.
 
-    Input: qid, dataset, gold_letter, model_pred, pred_letter, metrics (map), fcm_letter_probs,
-    fcm_prob_letters, fcm_letter_prob_map. A record holds all its letters, so no shuffle is needed.
+    Input, one record per qid: qid, dataset, gold_letter, model_pred, pred_letter, metrics (map),
+    fcm_letter_probs, fcm_prob_letters, fcm_letter_prob_map. The letters are exploded before the
+    metrics are looked up, because outside of lambdas the lookups are compiled. The ranks use the
+    partitioning by question that the collapse needs as well, so both share one exchange.
     """
     answer = F.coalesce(F.nullif(F.col("model_pred"), F.lit("")), "pred_letter", F.lit(""))
-    head = records.select(
+    exploded = records.select(
         "*",
         F.upper(F.trim(F.coalesce("gold_letter", F.lit("")))).alias("gold"),
         F.upper(F.trim(answer)).alias("vanilla"),
+        F.posexplode(record_letters()).alias("_position", "letter"),
     )
-
-    def build(letter: Column, i: Column) -> Column:
-        fields = [letter.alias("letter")]
-        for name, suffixes in METRIC_ALIASES.items():
-            found = F.coalesce(
-                *[
-                    F.try_element_at("metrics", F.concat(letter, F.lit(f"_{suffix}")))
-                    for suffix in suffixes
-                ]
-            )
-            fields.append(finite(found).alias(name))
-        fields.append(letter_probability(letter, i).alias("fcm_prob"))
-        return F.struct(*fields)
-
-    def values_of(rows: Column, metric: str) -> Column:
-        return F.transform(rows, lambda r: r.getField(metric))
-
-    def rank(rows: Column) -> Column:
-        columns = F.struct(*[values_of(rows, m).alias(m) for m in RANKED_ASCENDING])
-        names = ["letter", *METRIC_ALIASES, "fcm_prob"]
-        return let(
-            columns,
-            lambda c: F.transform(
-                rows,
-                lambda r: F.struct(
-                    *[r.getField(n).alias(n) for n in names],
-                    *[
-                        _min_rank(c.getField(m), r.getField(m), ascending).alias(f"{m}_rank")
-                        for m, ascending in RANKED_ASCENDING.items()
-                    ],
-                ),
-            ),
+    found = {
+        name: F.coalesce(
+            *[F.try_element_at("metrics", F.concat("letter", F.lit(f"_{s}"))) for s in suffixes]
         )
-
-    options = let(F.transform(record_letters(), build), rank)
-    return (
-        head.select("qid", "dataset", "gold", "vanilla", F.inline(options))
-        .withColumn("y_opt", gold_flag())
+        for name, suffixes in METRIC_ALIASES.items()
+    }
+    looked_up = exploded.select(
+        "qid",
+        "dataset",
+        "letter",
+        "gold",
+        "vanilla",
+        *[finite(value).alias(name) for name, value in found.items()],
+        letter_probability(F.col("letter"), F.col("_position")).alias("fcm_prob"),
+    )
+    return add_ranks(looked_up).select(
+        "*",
+        *[F.col(source).alias(name) for name, source in REPEATED_METRICS.items()],
+        gold_flag().alias("y_opt"),
     )
 
 

@@ -40,8 +40,9 @@ def _option_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long option table: key (qid, letter), two answers and six metrics with injected NULLs."""
-    rows = _option_lines(spark, sf_dir)
-    by_question = Window.partitionBy("l_orderkey")
+    # The question key is made first, so that these windows share the exchange with later ones.
+    rows = _option_lines(spark, sf_dir).withColumn("qid", F.col("l_orderkey").cast("string"))
+    by_question = Window.partitionBy("qid")
 
     def pick(mix: Column) -> Column:
         return F.max(F.struct(mix.alias("mix"), F.col("ix").alias("ix"))).over(by_question)
@@ -52,7 +53,7 @@ def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     null = F.lit(None).cast("double")
     return picked.select(
-        order.cast("string").alias("qid"),
+        "qid",
         F.when(order % 2 == 0, "even").otherwise("odd").alias("dataset"),
         letter_at("ix").alias("letter"),
         F.when(order % 41 == 0, "Y").otherwise(letter_at(F.col("v.ix"))).alias("vanilla"),
