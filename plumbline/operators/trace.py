@@ -154,16 +154,17 @@ def response_region(trace: DataFrame) -> DataFrame:
     """Keep the positions that predict response tokens and number them from 0 as `step`.
 
     The logits at position t predict token t + 1, so the region is prompt_len - 1 .. total_len - 2.
-    A response without tokens is an error. Both bounds are plain comparisons on the row.
+    A response without tokens is an error. All bounds are columns of the row itself.
     """
     start = F.greatest(F.col("prompt_len") - 1, F.lit(0))
     length = F.col("total_len") - F.col("prompt_len")
-    checked = F.when(length > 0, length).otherwise(
-        F.raise_error(F.lit("empty response region"))
+    inside = (F.col("pos") >= start) & (F.col("pos") <= F.col("total_len") - 2)
+    checked = F.when(length > 0, inside).otherwise(
+        F.raise_error(F.lit("empty response region")).cast("boolean")
     )
     return (
-        trace.withColumn("resp_len", checked)
-        .where((F.col("pos") >= start) & (F.col("pos") <= F.col("total_len") - 2))
+        trace.where(checked)
+        .withColumn("resp_len", length)
         .withColumn("step", (F.col("pos") - start).cast("int"))
     )
 

@@ -332,9 +332,8 @@ SELECT {", ".join(q6(_side_sql(n, s), f"{n}_{s}") for n in _CURVE_NAMES for s in
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _det(spark, sf_dir)
-    intervals = [bootstrap_ci(rows, m, N_BOOT, 0.1, BOOT_SEED) for m in ("aurc", "auroc")]
-    return intervals[0].unionByName(intervals[1]).select("metric", *r6s("lo", "hi", "point"))
+    table = bootstrap_ci(_det(spark, sf_dir), ("aurc", "auroc"), N_BOOT, 0.1, BOOT_SEED)
+    return table.select("metric", *r6s("lo", "hi", "point"))
 
 
 def _boot_metric(name: str, value: str) -> str:

@@ -11,7 +11,7 @@ from ..functions.scalars import error_label
 from ..operators import mcq, quality, splits
 from ..operators.collapse import collapse
 from ..operators.metrics import reliability_table
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, checkpointed
 from ..sources import readers, sinks
 from . import fixtures
 from .fixture_sql import AZ, COLLAPSED, SCORED, TEXTS
@@ -244,7 +244,9 @@ DESCRIBED = ["p_opt_top", "p_opt_chosen", "fcm_entropy", "pmic_gap_top1_top2"]
 
 
 def feature_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = quality.describe(_collapsed(spark, sf_dir), DESCRIBED)
+    table = quality.describe(
+        checkpointed(_collapsed(spark, sf_dir).select(*DESCRIBED)), DESCRIBED
+    )
     return table.select("column", "count", *r6s("mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
@@ -309,8 +311,10 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permuted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _collapsed(spark, sf_dir).select(
-        "qid", "chosen", "gold", error_label("chosen", "gold").alias("y")
+    rows = checkpointed(
+        _collapsed(spark, sf_dir).select(
+            "qid", "chosen", "gold", error_label("chosen", "gold").alias("y")
+        )
     )
     return splits.permute_labels(rows, seed=SEED)
 
