@@ -17,6 +17,7 @@ from .scan import exact_quantiles, ordered_scan
 
 ECE_BINS = 15
 RELIABILITY_BINS = 12
+BROADCAST_KEYS = 10_000
 ACCURACY_TARGETS = (0.80, 0.85, 0.90, 0.95)
 
 
@@ -290,8 +291,8 @@ def abstention_metrics(
 ) -> DataFrame:
     """Metrics of answering below and abstaining from `tau` on, per key and target.
 
-    `thresholds` has one row per key and target, a number the caller fixes, so it is broadcast. The
-    expanded rows are reduced to (target, bin, abstained) sums on the map side. Rows without a score
+    `thresholds` has one row per key and target; with few keys it is broadcast. The expanded rows
+    are reduced to (target, bin, abstained) sums on the map side. Rows without a score
     are left out of every count and reported as `unscored`.
     """
     base = list(keys)
@@ -299,7 +300,13 @@ def abstention_metrics(
         F.collect_list(F.struct("target", "tau")).alias("_targets")
     )
     if base:
-        rows = df.join(F.broadcast(targets), base)
+        # One row per key. Only a table that was counted to be small is broadcast.
+        known = targets.limit(BROADCAST_KEYS + 1).collect()
+        if len(known) <= BROADCAST_KEYS:
+            small = df.sparkSession.createDataFrame(known, targets.schema)
+            rows = df.join(F.broadcast(small), base)
+        else:
+            rows = df.join(targets, base)
     else:
         fixed = targets.first()["_targets"]
         rows = df.withColumn(
