@@ -1,4 +1,4 @@
-"""Array expressions over logits and vectors. One row holds one step, so nothing is exploded."""
+"""Array expressions for short arrays and for results as long as their input, inside the row."""
 from __future__ import annotations
 
 from pyspark.sql import Column
@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 
 from .scalars import ColumnLike, col, let
 
-NORM_FLOOR = 1e-10
-PROBABILITY_FLOOR = 1e-10
-
 
 def _shifted(x: ColumnLike, body) -> Column:
     """Bind the array and its maximum once, then build `body(array, maximum)`."""
@@ -47,88 +44,6 @@ def log_softmax(x: ColumnLike) -> Column:
     )
 
 
-def step_summary(x: ColumnLike) -> Column:
-    """One struct per logit vector: peak, total, logsumexp, entropy, maxprob, margin.
-
-    With e = exp(v - peak): entropy = ln(sum e) - sum(e * (v - peak)) / sum e and the largest
-    probability is 1 / sum e, so two passes over the array give all of them.
-    """
-
-    def passes(values: Column, m: Column) -> Column:
-        return F.struct(
-            m.alias("peak"),
-            _exp_total(values, m).alias("total"),
-            F.aggregate(
-                values, F.lit(0.0), lambda acc, v: acc + F.exp(v - m) * (v - m)
-            ).alias("moment"),
-            margin(values).alias("margin"),
-        )
-
-    def derive(r: Column) -> Column:
-        total = r.getField("total")
-        return F.struct(
-            r.getField("peak").alias("peak"),
-            total.alias("total"),
-            (r.getField("peak") + F.ln(total)).alias("logsumexp"),
-            (F.ln(total) - r.getField("moment") / total).alias("entropy"),
-            (1.0 / total).alias("maxprob"),
-            r.getField("margin").alias("margin"),
-        )
-
-    return F.when(F.size(col(x)) > 0, let(_shifted(x, passes), derive))
-
-
-def clamped_entropy(x: ColumnLike) -> Column:
-    """Entropy of softmax(x) with probabilities clamped from below inside the logarithm."""
-
-    def body(values: Column, m: Column) -> Column:
-        def term(acc: Column, v: Column, s: Column) -> Column:
-            p = F.exp(v - m) / s
-            return acc - p * F.ln(F.greatest(p, F.lit(PROBABILITY_FLOOR)))
-
-        return let(
-            _exp_total(values, m),
-            lambda s: F.aggregate(values, F.lit(0.0), lambda acc, v: term(acc, v, s)),
-        )
-
-    return _shifted(x, body)
-
-
-def margin(x: ColumnLike) -> Column:
-    """Largest minus second largest value; NULL for fewer than two values."""
-    return let(
-        F.sort_array(col(x), asc=False), lambda s: F.get(s, F.lit(0)) - F.get(s, F.lit(1))
-    )
-
-
-def all_finite(x: ColumnLike) -> Column:
-    """True when no element is NULL, NaN or infinite."""
-    return F.forall(
-        col(x),
-        lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), F.lit(False)),
-    )
-
-
-def dot(a: ColumnLike, b: ColumnLike) -> Column:
-    return F.aggregate(
-        F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v
-    )
-
-
-def difference(a: ColumnLike, b: ColumnLike) -> Column:
-    return F.zip_with(col(a), col(b), lambda x, y: x - y)
-
-
-def norm(a: ColumnLike) -> Column:
-    return F.sqrt(F.aggregate(col(a), F.lit(0.0), lambda acc, v: acc + v * v))
-
-
-def cosine(a: ColumnLike, b: ColumnLike) -> Column:
-    """Cosine with each norm clamped from below."""
-    floor = F.lit(NORM_FLOOR)
-    return dot(a, b) / (F.greatest(norm(a), floor) * F.greatest(norm(b), floor))
-
-
 def total(x: ColumnLike) -> Column:
     return F.aggregate(col(x), F.lit(0.0), lambda acc, v: acc + v)
 

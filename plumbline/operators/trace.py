@@ -1,6 +1,6 @@
 """Evidence from recorded logits: trace(keys, step, logits ARRAY<DOUBLE>[, target_id]).
 
-All work on a logit vector happens inside its row. Only a few numbers per step are shuffled, never
+A logit vector is reduced next to where it is read. Only a few numbers per step are shuffled, never
 the vectors, and the aggregates over steps merge on the map side.
 """
 from __future__ import annotations
@@ -11,8 +11,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import all_finite, clamped_entropy, step_summary, total
+from ..functions.arrays import total
 from ..functions.scalars import finite, let
+from ..functions.vectorised import logit_summary
 
 VOTES = 16
 VOTE_SEED = 1234
@@ -25,7 +26,7 @@ def step_statistics(trace: DataFrame, logits: str = "logits") -> DataFrame:
     """Replace the logits by entropy, margin, largest probability and, with a `target_id` column,
     the log-probability of the target. A step without its target is an error."""
     rest = [c for c in trace.columns if c != logits]
-    summed = trace.withColumn("_s", step_summary(logits))
+    summed = trace.withColumn("_s", logit_summary(logits))
     columns = [
         finite(F.col(f"_s.{name}")).alias(name) for name in ("entropy", "margin", "maxprob")
     ]
@@ -51,9 +52,9 @@ def mean_nll(
     The log-sum-exp is taken before the join, next to the vector.
     """
     on = [*keys, "step"]
-    summed = logits.select(*on, "logits", step_summary("logits").getField("logsumexp").alias("_l"))
+    summed = logits.select(*on, "logits", logit_summary("logits").alias("_s"))
     paired = targets.select(*on, "target_id").join(summed, on)
-    logprob = F.get("logits", F.col("target_id").cast("int")) - F.col("_l")
+    logprob = F.get("logits", F.col("target_id").cast("int")) - F.col("_s.logsumexp")
     return paired.groupBy(*keys).agg(finite(-F.avg(logprob)).alias("nll"))
 
 
@@ -89,15 +90,14 @@ def feature_rows(
     Means ignore non-finite steps; the letter columns need a last step that is finite throughout.
     An example without steps keeps T = 0 and NULLs. The first letter of the map wins ties.
     """
-    steps = trace.select(key, "step", "logits", step_summary("logits").alias("_s"))
+    steps = trace.select(key, "step", "logits", logit_summary("logits").alias("_s"))
     probabilities = letter_probabilities("logits", letter_ids, F.col("_s"))
-    last_ok = all_finite("logits")
     small = steps.select(
         key,
         "step",
         F.size("logits").alias("_v"),
         *[finite(F.col(f"_s.{n}")).alias(n) for n in ("entropy", "margin", "maxprob")],
-        *[F.when(last_ok, p).alias(f"p_{letter}") for letter, p in probabilities.items()],
+        *[F.when(F.col("_s.finite"), p).alias(f"p_{letter}") for letter, p in probabilities.items()],
     )
     last = F.max_by(
         F.struct("_v", "entropy", "maxprob", *[f"p_{letter}" for letter in letter_ids]), "step"
@@ -215,12 +215,14 @@ def option_evidence(
         .otherwise(length)
     inside = (F.col("step") >= start) & (F.col("step") < start + length)
     reachable = (F.col("role") == "cond") | (room > 0)
-    summary = step_summary("logits")
-    scored = trace.where(inside & reachable).select(
+    summed = trace.where(inside & reachable).select(
+        *keys, "role", "logits", "target_id", logit_summary("logits").alias("_s")
+    )
+    scored = summed.select(
         *keys,
         "role",
-        (-target_logprob("logits", summary.getField("logsumexp"))).alias("_nll"),
-        F.when(F.col("role") == "cond", clamped_entropy("logits")).alias("_entropy"),
+        (-target_logprob("logits", F.col("_s.logsumexp"))).alias("_nll"),
+        F.when(F.col("role") == "cond", F.col("_s.clamped_entropy")).alias("_entropy"),
     )
     cond = F.col("role") == "cond"
     prefix = f"llmc_{view}_"
@@ -318,9 +320,6 @@ def letter_evidence(
         ]
     )
     heat = max(float(temperature), 1e-8)
-    scaled = (
-        F.col("logits") if heat == 1.0 else F.transform("logits", lambda v: v / F.lit(heat))
-    )
     generated = (
         F.upper(F.substring(F.trim("gen_text"), 1, 1))
         if "gen_text" in last.columns
@@ -336,7 +335,9 @@ def letter_evidence(
             mass = total(
                 F.transform(
                     found,
-                    lambda i: F.exp(F.get(source.getField("scaled"), i) - source.getField("peak"))
+                    lambda i: F.exp(
+                        F.get(source.getField("raw"), i) / F.lit(heat) - source.getField("peak")
+                    )
                     / source.getField("total"),
                 )
             )
@@ -351,15 +352,12 @@ def letter_evidence(
 
         return let(ids, read)
 
-    summary = step_summary("_scaled")
     measured = (
-        last.withColumn("_scaled", scaled)
-        .withColumn("_sum", summary)
+        last.withColumn("_sum", logit_summary("logits", heat))
         .withColumn(
             "_source",
             F.struct(
                 F.col("logits").alias("raw"),
-                F.col("_scaled").alias("scaled"),
                 F.col("_sum.peak").alias("peak"),
                 F.col("_sum.total").alias("total"),
             ),
@@ -371,7 +369,7 @@ def letter_evidence(
                 lambda s: F.transform("letters", lambda letter: measure(letter, s)),
             ),
         )
-        .drop("_source", "_scaled", "_sum", "logits")
+        .drop("_source", "_sum", "logits")
     )
     masses = F.transform("_letters", lambda e: e.getField("mass"))
     n = F.size("letters")

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import NORM_FLOOR, cosine, difference, norm, total
+from ..functions.arrays import total
+from ..functions.vectorised import NORM_FLOOR, change_summary
 from .scan import exact_quantiles, neighbours
 
 DEFAULT_LAYERS = (-4, -3, -2, -1)
@@ -39,17 +40,15 @@ def layer_dynamics(
     consecutive changes. Only the picked layers are read."""
     order = sorted(set(layers))
     window = Window.partitionBy(*keys, "step").orderBy("layer")
-    changes = (
+    stacked = (
         states.where(F.col("layer").isin(order))
-        .withColumn("_d", difference("vec", F.lag("vec").over(window)))
-        .withColumn("_d0", F.lag("_d").over(window))
-        .where(F.col("_d").isNotNull())
+        .withColumn("_v1", F.lag("vec", 1).over(window))
+        .withColumn("_v2", F.lag("vec", 2).over(window))
+        .where(F.col("_v1").isNotNull())
     )
-    measured = changes.select(
-        *keys,
-        "step",
-        norm("_d").alias("_norm"),
-        F.when(F.col("_d0").isNotNull(), cosine("_d", "_d0")).alias("_cos"),
+    changed = stacked.select(*keys, "step", change_summary("vec", "_v1", "_v2").alias("_c"))
+    measured = changed.select(
+        *keys, "step", F.col("_c.norm").alias("_norm"), F.col("_c.cosine").alias("_cos")
     )
     return measured.groupBy(*keys, "step").agg(
         F.avg("_norm").alias("delta_tok"),
@@ -65,12 +64,12 @@ def time_dynamics(
     previous change; NULL where the earlier steps are missing."""
     rows = states.where(F.col("layer") == layer).select(*keys, "step", "vec")
     paired = neighbours(rows, "step", {"_v1": ("vec", 1), "_v2": ("vec", 2)}, keys)
-    change, earlier = difference("vec", "_v1"), difference("_v1", "_v2")
-    return paired.select(
+    changed = paired.select(*keys, "step", change_summary("vec", "_v1", "_v2").alias("_c"))
+    return changed.select(
         *keys,
         "step",
-        norm(change).alias("delta_time"),
-        F.when(F.col("_v2").isNotNull(), cosine(change, earlier)).alias("time_cos"),
+        F.col("_c.norm").alias("delta_time"),
+        F.col("_c.cosine").alias("time_cos"),
     )
 
 

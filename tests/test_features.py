@@ -1,11 +1,13 @@
 """Option table, collapse, traces, vectors, prompts and question rows on small fixtures."""
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays as ar
 from plumbline.functions import text as tx
+from plumbline.functions.vectorised import change_summary, logit_summary
 from plumbline.operators import mcq, options as opt, trace as tr, vectors as vec
 from plumbline.operators.collapse import collapse
 from plumbline.sources import readers
@@ -123,6 +125,43 @@ def test_large_logits_and_short_vectors(spark):
     assert sorted(r.p for r in soft.collect()) == [[], [0.5, 0.5]]
 
 
+def test_reductions_against_numpy(spark):
+    """Ragged, empty, NULL and broken vectors in one batch."""
+    rng = np.random.default_rng(5)
+    vectors = [list(rng.normal(size=n) * 9) for n in (1, 2, 7, 300)]
+    vectors += [[], None, [1.0, float("nan")], [3.0, 3.0], [float("-inf"), 0.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "i INT, v ARRAY<DOUBLE>").coalesce(1)
+    rows = {r.i: r.s for r in df.select("i", logit_summary("v", 2.0).alias("s")).collect()}
+    for i, v in enumerate(vectors[:4]):
+        x = np.array(v) / 2.0
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert rows[i].entropy == pytest.approx(-(p * np.log(p)).sum(), abs=1e-12)
+        assert rows[i].clamped_entropy == pytest.approx(-(p * np.log(np.maximum(p, 1e-10))).sum())
+        assert rows[i].maxprob == pytest.approx(p.max()) and rows[i].finite
+        top = sorted(v)[-2:]
+        assert math.isnan(rows[i].margin) if len(v) == 1 else rows[i].margin == pytest.approx(
+            top[1] - top[0])
+    assert rows[4].peak is None and rows[5].finite is None
+    assert not rows[6].finite and math.isnan(rows[6].entropy)
+    assert rows[7].margin == 0.0
+    assert not rows[8].finite and rows[8].margin == 1.0 and math.isnan(rows[8].entropy)
+
+
+def test_changes_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, *[list(v) for v in rng.normal(size=(3, 2 + i))]) for i in range(4)]
+    rows += [(4, [1.0], [2.0], None), (5, [1.0], None, None), (6, [1.0], [1.0], [1.0])]
+    df = spark.createDataFrame(rows, "i INT, a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, c ARRAY<DOUBLE>")
+    got = {r.i: r.s for r in df.coalesce(1).select(
+        "i", change_summary("a", "b", "c").alias("s")).collect()}
+    for i, a, b, c in rows[:4]:
+        d, e = np.subtract(a, b), np.subtract(b, c)
+        assert got[i].norm == pytest.approx(np.linalg.norm(d))
+        assert got[i].cosine == pytest.approx(d @ e / np.linalg.norm(d) / np.linalg.norm(e))
+    assert got[4].norm == 1.0 and got[4].cosine is None
+    assert got[5].norm is None and (got[6].norm, got[6].cosine) == (0.0, 0.0)
+
+
 def features(spark, logits, gold, ids=None):
     examples = spark.createDataFrame([("q", "d", gold)], "qid STRING, dataset STRING, gold_letter STRING")
     ids = ids or {"A": 0, "B": 1, "C": 2, "D": 3}
