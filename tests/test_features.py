@@ -128,7 +128,7 @@ def test_large_logits_and_short_vectors(spark):
 def test_reductions_against_numpy(spark):
     """Ragged, empty, NULL and broken vectors in one batch."""
     rng = np.random.default_rng(5)
-    vectors = [list(rng.normal(size=n) * 9) for n in (1, 2, 7, 300)]
+    vectors = [(rng.normal(size=n) * 9).tolist() for n in (1, 2, 7, 300)]
     vectors += [[], None, [1.0, float("nan")], [3.0, 3.0], [float("-inf"), 0.0, 1.0]]
     df = spark.createDataFrame(list(enumerate(vectors)), "i INT, v ARRAY<DOUBLE>").coalesce(1)
     rows = {r.i: r.s for r in df.select("i", logit_summary("v", 2.0).alias("s")).collect()}
@@ -149,7 +149,7 @@ def test_reductions_against_numpy(spark):
 
 def test_changes_against_numpy(spark):
     rng = np.random.default_rng(6)
-    rows = [(i, *[list(v) for v in rng.normal(size=(3, 2 + i))]) for i in range(4)]
+    rows = [(i, *rng.normal(size=(3, 2 + i)).tolist()) for i in range(4)]
     rows += [(4, [1.0], [2.0], None), (5, [1.0], None, None), (6, [1.0], [1.0], [1.0])]
     df = spark.createDataFrame(rows, "i INT, a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, c ARRAY<DOUBLE>")
     got = {r.i: r.s for r in df.coalesce(1).select(
