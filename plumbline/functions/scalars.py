@@ -29,6 +29,11 @@ def finite(c: ColumnLike) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)
 
 
+def stripped(value: ColumnLike) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(col(value), r"(?U)^\s+|\s+$", "")
+
+
 def to_number(c: ColumnLike) -> Column:
     """Any scalar as a finite double; text that is no number becomes NULL."""
     return finite(col(c).try_cast("double"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import ColumnLike, col
+from .scalars import ColumnLike, col, stripped
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -22,13 +22,17 @@ class PromptStyle:
 
 
 def letter_at(index: ColumnLike) -> Column:
-    """Letter of a zero-based position; '' beyond Z."""
-    return F.substring(F.lit(LETTERS), col(index).cast("int") + 1, F.lit(1))
+    """Letter of a zero-based position. A position beyond Z is an error: letters are option keys."""
+    place = col(index).cast("int")
+    beyond = F.raise_error(F.lit("a question has more than 26 options"))
+    return F.when(place >= len(LETTERS), beyond).otherwise(
+        F.substring(F.lit(LETTERS), place + 1, F.lit(1))
+    )
 
 
 def clean_label(label: ColumnLike) -> Column:
     """Label trimmed and upper-cased; an empty or missing label reads as A."""
-    return F.upper(F.trim(F.coalesce(F.nullif(col(label), F.lit("")), F.lit("A"))))
+    return F.upper(stripped(F.coalesce(F.nullif(col(label), F.lit("")), F.lit("A"))))
 
 
 def option_line(label: ColumnLike, text: ColumnLike) -> Column:

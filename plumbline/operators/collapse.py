@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sorted_gini, top2_gap
-from ..functions.scalars import finite
+from ..functions.scalars import finite, stripped
 from .options import with_probability
 
 # Delta feature -> (source columns in order of preference, sign).
@@ -61,7 +61,7 @@ def collapse(
         F.col("p_opt").alias("_p"),
         *[source.alias(f"_m_{name}") for name, source in sources.items()],
     )
-    is_chosen = F.col("letter") == F.upper(F.trim(F.coalesce("vanilla", F.lit(""))))
+    is_chosen = F.col("letter") == F.upper(stripped(F.coalesce("vanilla", F.lit(""))))
     ranked = {"p": "_p", "pmic": "_m_pmic", "pmil": "_m_pmil"}
     rows = rows.withColumn("_chosen", F.coalesce(is_chosen, F.lit(False))).select(
         "*",
@@ -88,7 +88,7 @@ def collapse(
         return gap if sign > 0 else -gap
 
     fcm = F.col("_m_fcm_prob")
-    clean = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    clean = lambda c: F.upper(stripped(F.coalesce(c, F.lit(""))))
     grouped = rows.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],
         clean(F.min_by("gold", "_ix")).alias("gold"),

@@ -144,13 +144,14 @@ def trapezoid_area(
     df: DataFrame, x: str, y: str, order: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
     """(keys, area): trapezoids between consecutive points in `order`; a single point has area 0
-    and any non-finite step in x makes the area NULL."""
+    and a non-finite step in x or value of y makes the area NULL."""
     points = df.select(*keys, *order, F.col(x).alias("_x"), F.col(y).alias("_y"))
     ranked = ordered_scan(points, list(order), keys, rank="_rank")
     stepped = neighbours(ranked, "_rank", {"_x0": ("_x", 1), "_y0": ("_y", 1)}, keys)
     dx = finite(F.col("_x") - F.col("_x0"))
     inner = F.col("_rank") > 1
     area = F.sum(F.when(inner, dx * 0.5 * (F.col("_y") + F.col("_y0"))).otherwise(0.0))
+    broken = (inner & dx.isNull()) | finite(F.col("_y")).isNull()
     return stepped.groupBy(*keys).agg(
-        F.when(F.count_if(inner & dx.isNull()) == 0, area).alias("area")
+        F.when(F.count_if(broken) == 0, area).alias("area")
     )

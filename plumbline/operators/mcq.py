@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.scalars import keyed_hash, prediction_error
-from .scan import hashed_scan
+from ..functions.scalars import keyed_hash, prediction_error, stripped
+from .scan import hashed_parts
 
 
 def from_truthful(
@@ -67,11 +67,11 @@ def from_open(rows: DataFrame) -> DataFrame:
         F.transform(
             "options",
             lambda o: F.struct(
-                F.upper(F.trim(o.getField("label"))).alias("label"),
+                F.upper(stripped(o.getField("label"))).alias("label"),
                 o.getField("text").alias("text"),
             ),
         ).alias("options"),
-        F.nullif(F.upper(F.trim(optional("answerKey"))), F.lit("")).alias("gold_letter"),
+        F.nullif(F.upper(stripped(optional("answerKey"))), F.lit("")).alias("gold_letter"),
         F.coalesce(optional("dataset"), F.lit("open_llm")).alias("dataset"),
     )
 
@@ -110,7 +110,8 @@ def sample(
     """Exactly `size` rows without replacement, or all rows when there are not more."""
     if size is None:
         return rows
-    return hashed_scan(rows, ids, seed or 0).where(F.col("position") <= size).select(*rows.columns)
+    parts = hashed_parts(rows, ids, seed or 0, [], counts=[size])
+    return parts.where("_part = 0").select(*rows.columns)
 
 
 def prompts(mcq: DataFrame, style: tx.PromptStyle = tx.PromptStyle()) -> DataFrame:

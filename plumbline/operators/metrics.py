@@ -17,7 +17,6 @@ from .scan import exact_quantiles, ordered_scan
 
 ECE_BINS = 15
 RELIABILITY_BINS = 12
-BROADCAST_KEYS = 10_000
 ACCURACY_TARGETS = (0.80, 0.85, 0.90, 0.95)
 
 
@@ -43,9 +42,12 @@ def merge_metrics(frames: Sequence[DataFrame], keys: Sequence[str] = ()) -> Data
 def bin_sums(
     df: DataFrame, p: str, y: str, bins: int, keys: Sequence[str] = (), closed_last: bool = False
 ) -> DataFrame:
-    """n, sum of p and sum of y per key and equal-width bin; `bin` is NULL outside all bins."""
+    """n, sum of p and sum of y per key and equal-width bin; `bin` is NULL outside all bins.
+
+    Rows without a score are left out, here as in every other metric."""
     return (
-        df.withColumn("bin", equal_width_bin(p, bins, closed_last))
+        df.where(F.col(p).isNotNull())
+        .withColumn("bin", equal_width_bin(p, bins, closed_last))
         .groupBy(*keys, "bin")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -291,33 +293,18 @@ def abstention_metrics(
 ) -> DataFrame:
     """Metrics of answering below and abstaining from `tau` on, per key and target.
 
-    `thresholds` has one row per key and target; with few keys it is broadcast. The expanded rows
-    are reduced to (target, bin, abstained) sums on the map side. Rows without a score
+    `thresholds` has one row per key and target. The expanded rows are reduced to (target, bin, abstained) sums on the map side. Rows without a score
     are left out of every count and reported as `unscored`.
     """
     base = list(keys)
     targets = thresholds.groupBy(*base).agg(
         F.collect_list(F.struct("target", "tau")).alias("_targets")
     )
+    # One row per key, or one row in all: the optimizer broadcasts what it measures to be small.
     if base:
-        # One row per key. Only a table that was counted to be small is broadcast.
-        known = targets.limit(BROADCAST_KEYS + 1).collect()
-        if len(known) <= BROADCAST_KEYS:
-            small = df.sparkSession.createDataFrame(known, targets.schema)
-            rows = df.join(F.broadcast(small), base)
-        else:
-            rows = df.join(targets, base)
+        rows = df.join(targets, base)
     else:
-        fixed = targets.first()["_targets"]
-        rows = df.withColumn(
-            "_targets",
-            F.array(
-                *[
-                    F.struct(F.lit(t.target).alias("target"), F.lit(t.tau).alias("tau"))
-                    for t in fixed
-                ]
-            ),
-        )
+        rows = df.withColumn("_all", F.lit(1)).join(targets.withColumn("_all", F.lit(1)), "_all")
     expanded = rows.select(*base, F.col(p).alias("_p"), F.col(y).alias("_y"), F.inline("_targets"))
     group = [*base, "target", "tau"]
     sums = (

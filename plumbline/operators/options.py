@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import top2_gap
-from ..functions.scalars import finite, let
+from ..functions.scalars import finite, let, stripped
 
 DEFAULT_LETTERS = ("A", "B", "C", "D")
 
@@ -146,8 +146,8 @@ def option_table(records: DataFrame) -> DataFrame:
     answer = F.coalesce(F.nullif(F.col("model_pred"), F.lit("")), "pred_letter", F.lit(""))
     exploded = records.select(
         "*",
-        F.upper(F.trim(F.coalesce("gold_letter", F.lit("")))).alias("gold"),
-        F.upper(F.trim(answer)).alias("vanilla"),
+        F.upper(stripped(F.coalesce("gold_letter", F.lit("")))).alias("gold"),
+        F.upper(stripped(answer)).alias("vanilla"),
         F.posexplode(record_letters()).alias("_position", "letter"),
     )
     found = {

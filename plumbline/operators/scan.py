@@ -13,6 +13,8 @@ one group may hold most of the rows:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,15 +169,87 @@ def hashed_scan(
         )
     )
     inside = Window.partitionBy(*pieces).orderBy("_h", *ids)
-    return (
-        hashed.withColumn("_local", F.row_number().over(inside))
-        .join(offsets, pieces)
-        .select(
-            *df.columns,
-            (F.col("_local") + F.col("_before")).alias("position"),
-            F.col("stratum_size"),
-        )
+    local = hashed.withColumn("_local", F.row_number().over(inside))
+    same = reduce(and_, [local[c].eqNullSafe(offsets[c]) for c in pieces])
+    return local.join(offsets, same).select(
+        *[local[c] for c in df.columns],
+        (F.col("_local") + F.col("_before")).alias("position"),
+        F.col("stratum_size"),
+    )
+
+
+def hashed_parts(
+    df: DataFrame,
+    id_columns: Sequence[str],
+    seed: int,
+    fractions: Sequence[float],
+    strata: Sequence[str] = (),
+    counts: Sequence[int] = (),
+) -> DataFrame:
+    """Add `_part`: the number of the range of seeded random positions that a row falls in.
+
+    Ranges follow one another: rint(fraction * stratum size) rows each, or fixed `counts` of the
+    whole table; what is left has the number of ranges. A row's hash prefix decides, on the map
+    side, unless the prefix holds a cut: only those pieces, about a millionth of a stratum each,
+    are moved and ranked. NULL is a stratum like any other.
+    """
+    strata, ids = list(strata), list(id_columns)
+    hashed = df.withColumn("_h", keyed_hash(ids, seed)).withColumn(
+        "_piece", F.shiftright("_h", HASH_BITS - HASH_PIECE_BITS)
+    )
+    group = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
+    upto = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = (
+        hashed.groupBy(*strata, "_piece")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*strata, "_piece", "_n", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(group).alias("_size"))
+    )
+    edge, edges = F.lit(0.0), []
+    for width in [*[F.rint(F.lit(float(f)) * F.col("_size")) for f in fractions], *[F.lit(float(c)) for c in counts]]:
+        edge = edge + width
+        edges.append(edge)
+    # Per stratum: the last piece that lies wholly before each edge, and the rows up to there.
+    cuts = sizes.groupBy(*strata).agg(
+        *[
+            F.coalesce(F.max(F.when(F.col("_upto") <= e, F.col("_piece"))), F.lit(-1)).alias(f"_in{i}")
+            for i, e in enumerate(edges)
+        ],
+        *[
+            F.min(F.when(F.col("_upto") > e, F.col("_piece"))).alias(f"_cut{i}")
+            for i, e in enumerate(edges)
+        ],
+        *[F.max(e).cast("bigint").alias(f"_edge{i}") for i, e in enumerate(edges)],
+    )
+    cuts = cuts.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)], *cuts.columns[len(strata):])
+    if strata:
+        same = reduce(and_, [hashed[c].eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)])
+        rows = hashed.join(cuts, same)
+    else:
+        rows = hashed.withColumn("_all", F.lit(0)).join(cuts.withColumn("_all", F.lit(0)), "_all")
+    at_cut = reduce(or_, [F.coalesce(F.col("_piece") == F.col(f"_cut{i}"), F.lit(False)) for i in range(len(edges))])
+    part = F.lit(len(edges))
+    for i in reversed(range(len(edges))):
+        part = F.when(F.col("_piece") <= F.col(f"_in{i}"), F.lit(i)).otherwise(part)
+    plain = rows.where(~at_cut).select(*[hashed[c] for c in df.columns], part.alias("_part"))
+    # Positions inside the few pieces that hold a cut.
+    local = rows.where(at_cut).withColumn(
+        "_local", F.row_number().over(Window.partitionBy(*strata, "_piece").orderBy("_h", *ids))
+    )
+    before = sizes.select(
+        *[F.col(c).alias(f"_b{i}") for i, c in enumerate(strata)],
+        F.col("_piece").alias("_bp"),
+        (F.col("_upto") - F.col("_n")).alias("_before"),
+    )
+    here = reduce(
+        and_,
+        [local[c].eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(strata)],
+        local["_piece"] == F.col("_bp"),
     )
+    ranked = local.join(before, here)
+    place, part = F.col("_local") + F.col("_before"), F.lit(len(edges))
+    for i in reversed(range(len(edges))):
+        part = F.when(place <= F.col(f"_edge{i}"), F.lit(i)).otherwise(part)
+    return plain.unionByName(ranked.select(*[local[c] for c in df.columns], part.alias("_part")))
 
 
 def neighbours(

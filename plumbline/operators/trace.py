@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import total
-from ..functions.scalars import finite, let
+from ..functions.scalars import finite, let, stripped
 from ..functions.vectorised import logit_summary
 
 VOTES = 16
@@ -36,26 +36,30 @@ def step_statistics(trace: DataFrame, logits: str = "logits") -> DataFrame:
 
 
 def target_logprob(logits: str, logsumexp: Column, target: str = "target_id") -> Column:
-    checked = F.when(
-        F.col(target).isNull(), F.raise_error(F.lit("a step has no target id"))
-    ).otherwise(F.col(target))
+    """An id that is missing or outside the vector is an error."""
+    known = (F.col(target) >= 0) & (F.col(target) < F.size(logits))
+    checked = F.when(known, F.col(target)).otherwise(
+        F.raise_error(F.lit("a step has no target id inside its logits"))
+    )
     return F.get(F.col(logits), checked.cast("int")) - logsumexp
 
 
-def mean_nll(
-    logits: DataFrame, targets: DataFrame, keys: Sequence[str] = ("qid",)
-) -> DataFrame:
-    """Mean negative log-likelihood of targets(keys, step, target_id) under logits(keys, step,
-    logits). Steps present on one side only are left out, as the shorter sequence decides; without
-    any common finite value the result is NULL.
+def mean_nll(trace: DataFrame, keys: Sequence[str] = ("qid",)) -> DataFrame:
+    """Mean negative log-likelihood of the targets in trace(keys, step, logits, target_id).
 
-    The log-sum-exp is taken before the join, next to the vector.
+    A step without a target is left out, as the shorter sequence decides. A key with a target
+    outside its vector, with a value that is not finite, or without any target gets NULL. Vectors
+    are reduced where they are read; one number per step is aggregated.
     """
-    on = [*keys, "step"]
-    summed = logits.select(*on, "logits", logit_summary("logits").alias("_s"))
-    paired = targets.select(*on, "target_id").join(summed, on)
-    logprob = F.get("logits", F.col("target_id").cast("int")) - F.col("_s.logsumexp")
-    return paired.groupBy(*keys).agg(finite(-F.avg(logprob)).alias("nll"))
+    target = F.col("target_id").cast("int")
+    values = trace.select(
+        *keys,
+        target.isNotNull().alias("_paired"),
+        (F.get("logits", target) - logit_summary("logits").getField("logsumexp")).alias("_lp"),
+    )
+    lost = F.count_if(F.col("_paired") & F.col("_lp").isNull())
+    mean = -F.avg(F.when(F.col("_paired"), F.col("_lp")))
+    return values.groupBy(*keys).agg(F.when(lost == 0, finite(mean)).alias("nll"))
 
 
 def aggregate_values(
@@ -116,7 +120,7 @@ def feature_rows(
         predicted = F.when(
             (F.col(f"p_{letter}") == best) & (best >= 0), F.lit(letter)
         ).otherwise(predicted)
-    gold = F.upper(F.trim(F.coalesce("gold_letter", F.lit(""))))
+    gold = F.upper(stripped(F.coalesce("gold_letter", F.lit(""))))
     wide = (
         examples.select(key, "dataset", "gold_letter")
         .join(grouped, key, "left")
@@ -321,7 +325,7 @@ def letter_evidence(
     )
     heat = max(float(temperature), 1e-8)
     generated = (
-        F.upper(F.substring(F.trim("gen_text"), 1, 1))
+        F.upper(F.substring(stripped("gen_text"), 1, 1))
         if "gen_text" in last.columns
         else F.lit("")
     )
@@ -417,9 +421,9 @@ def letter_evidence(
             _literal(_uniform_draws(votes, seed)), lambda u: F.size(F.filter(cdf, lambda c: c <= u))
         ),
     )
-    blind = F.get(
-        F.array(*[_literal(row) for row in _uniform_indices(votes, seed)]), n - 1
-    )
+    blind = F.when(
+        n > MAX_LETTERS, F.raise_error(F.lit("a question has more than 26 letters"))
+    ).otherwise(F.get(F.array(*[_literal(row) for row in _uniform_indices(votes, seed)]), n - 1))
     voted = with_p.withColumn(
         "_draws", F.when(F.col("fcm_mass_on_letters") > 0, drawn).otherwise(blind)
     ).withColumn(

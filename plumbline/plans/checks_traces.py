@@ -73,8 +73,8 @@ SELECT CAST(floor(vec_id / 8e0) AS BIGINT) AS qid, {q6("avg(h)", "mean")}, {q6("
 def trace_mean_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The targets stop before the logits do, so only the common steps count."""
     rows = fixtures.last_step_trace(spark, sf_dir)
-    targets = rows.where(F.col("step") < 1 + F.col("q") % 7).select("qid", "step", "target_id")
-    nll = tr.mean_nll(rows.select("qid", "step", "logits"), targets)
+    target = F.when(F.col("step") < 1 + F.col("q") % 7, F.col("target_id"))
+    nll = tr.mean_nll(rows.withColumn("target_id", target))
     return nll.select("qid", *r6s("nll"))
 
 

@@ -19,7 +19,10 @@ OPEN_NAMES = ("open_llm", "open-llm", "openllm")
 
 
 def _scan(spark: SparkSession, path: str, file_format: str, schema: str) -> DataFrame:
-    """Rows with a `qid`: a column of the file, else the row ordinal in path order (Parquet)."""
+    """Rows with a `qid`: a column of the file, else the row ordinal in path order (Parquet).
+
+    Other formats have no stable row numbers, so a row without `qid` is an error there: questions
+    without a key would be taken for one."""
     found = spark.read.format(file_format).load(path).columns if file_format == "parquet" else []
     if file_format == "parquet" and "qid" not in found:
         rows = spark.read.schema(schema).parquet(path)
@@ -29,7 +32,9 @@ def _scan(spark: SparkSession, path: str, file_format: str, schema: str) -> Data
             F.col("_metadata.row_index").alias("_row"),
         )
         return mcq.with_ordinal(located)
-    return spark.read.schema(f"qid STRING, {schema}").format(file_format).load(path)
+    rows = spark.read.schema(f"qid STRING, {schema}").format(file_format).load(path)
+    lost = F.raise_error(F.lit(f"{file_format} questions need a qid"))
+    return rows.withColumn("qid", F.coalesce("qid", lost))
 
 
 def read_truthful(
