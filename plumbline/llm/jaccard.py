@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import Scratch
-from .words import shingles, word_hashes
+from .words import SLICE_BYTES, shingles, text_slices, word_hashes
 
 WIDTH = 5
 PERCENT = 80
@@ -64,7 +64,7 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents -> rows by h: 0 (class, a doc_id, n, part) members; 1 (class, a count) elements
     shared within the batch; 2 elements of one class of the batch; 3 elements of several."""
     limit = np.uint64(int(PART * 2**64))
-    for batch in batches:
+    for batch in text_slices(batches, 1, SLICE_BYTES):
         sets = shingles(*word_hashes(batch.column(1)), WIDTH)
         keys = np.array([_class_of(s) if len(s) else 0 for s in sets], np.int64)
         heads = [s[: np.searchsorted(s, limit)] for s in sets]
@@ -149,7 +149,7 @@ def classes_and_members(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, class) -> (class, n, h) for the texts of that class."""
-    for batch in batches:
+    for batch in text_slices(batches, 0, SLICE_BYTES):
         want = batch.column(1).to_pylist()
         sets = shingles(*word_hashes(batch.column(0)), WIDTH)
         good = [(c, s) for c, s in zip(want, sets) if len(s) and _class_of(s) == c]

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
+from .words import text_slices
 
 CAPACITY = 2048
 END = 0
@@ -36,7 +37,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, True)
-        for batch in batches:
+        for batch in text_slices(batches, 1, TEXT_BYTES):
             flat, sizes = coder.ids(batch.column(1))
             ends = np.cumsum(sizes + 1)
             raw = memoryview(np.insert(flat, np.cumsum(sizes), END).astype("<u4").tobytes())

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
+from .words import text_slices
 
 MAGIC = b"RANS0001"
 LANES = 32
@@ -175,7 +176,7 @@ def segments(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         return pa.RecordBatch.from_pydict(row, schema=SEGMENT_ARROW)
 
     held = 0
-    for batch in batches:
+    for batch in text_slices(batches, 1, TEXT_BYTES):
         flat, sizes = coder.ids(batch.column(1))
         ends = np.cumsum(sizes)
         with_end = np.insert(flat, ends, END)
@@ -257,7 +258,6 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = write_token_files(docs, Scratch(spark), public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(files)

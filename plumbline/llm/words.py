@@ -1,8 +1,11 @@
 """Word hashes of whole Arrow batches of texts, without a Python object for each word."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WHITE = np.zeros(256, bool)
@@ -11,6 +14,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of about `limit` bytes of text, whole texts each, so that the
+    arrays made of a slice stay small whatever the batch size."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        number = np.cumsum(sizes, dtype=np.int64) // limit
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(sizes)).tolist()):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -18,6 +33,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text that a task turns into arrays at a time.
+SLICE_BYTES = 4 << 20
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, of all texts, and the words
     before each text (one number more than texts). A null text has none."""
