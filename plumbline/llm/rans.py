@@ -61,8 +61,8 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     start = np.cumsum(freq) - freq
     lanes = blocks * LANES
     steps = BLOCK // LANES
-    # Row k of the grid is step k of every lane; the last block is filled up with the first symbol.
-    padded = np.zeros(blocks * BLOCK, np.int64)
+    # Row k of the grid is step k of every lane; the last block is filled up with the cheapest symbol.
+    padded = np.full(blocks * BLOCK, int(np.argmax(freq)) if n else 0, np.int64)
     padded[:n] = rank
     grid = padded.reshape(blocks, steps, LANES)
     state = np.full(lanes, LOW, np.uint64)
@@ -141,7 +141,8 @@ def decode(data: bytes, first: int = 0, last: int | None = None) -> tuple[np.nda
         short = (state < low).reshape(-1, LANES)
         if short.any():
             rank = np.cumsum(short, axis=1)
-            place = (cursor[:, None] + rank - 1)[short]
+            # Damaged words may ask for more than there are; the checksum tells.
+            place = np.minimum((cursor[:, None] + rank - 1)[short], len(words) - 1)
             hungry = np.flatnonzero(short.reshape(-1))
             state[hungry] = (state[hungry] << np.uint64(32)) | words[place].astype(np.uint64)
             cursor += rank[:, -1]

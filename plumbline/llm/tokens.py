@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 MEMORY_WORDS = 700_000
-TEXT_BYTES = 8 << 20  # of text encoded at a time
+TEXT_BYTES = 20 << 20  # of text encoded at a time
 LONGEST = 64  # characters; longer parts are encoded but not kept
 _PLAIN = re.compile(r"([ \n]?)([^\W\d_]+)([.,]?)")
 _CONTROLS = np.zeros(256, bool)
