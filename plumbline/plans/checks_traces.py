@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import arrays as ar
 from ..operators import trace as tr
 from ..operators import vectors as vec
+from ..operators.collapse import collapse
+from ..operators.options import option_table
+from ..operators.question import question_records
+from ..session import checkpointed
 from . import fixtures
 from .fixture_sql import AZ, logits
 from .rounding import q6, q6s, r6, r6s
@@ -448,17 +452,73 @@ POOL_SQL = f"WITH {VECTORS}, pl AS (" + " UNION ALL ".join(
 ) + f") SELECT seq, i, {q6('v')} FROM pl"
 
 
+def _question_inputs(spark: SparkSession, sf_dir: str) -> dict:
+    """Questions of the response trace; the states of four sequences belong to one question."""
+    region = _region(spark, sf_dir)
+    letter = F.substring(F.lit("ABCD"), (F.col("seq") % 4 + 1).cast("int"), F.lit(1))
+    by_option = lambda df: df.withColumns(
+        {"qid": F.floor(F.col("seq") / 4).cast("string"), "letter": letter}
+    ).drop("seq")
+    questions = region.groupBy("qid").agg(F.sort_array(F.collect_set("letter")).alias("letters"))
+    mcq = questions.select(
+        "qid",
+        F.when(F.col("qid").cast("int") % 2 == 0, "even").otherwise("odd").alias("dataset"),
+        F.col("letters")[0].alias("gold_letter"),
+        F.transform(
+            "letters", lambda x: F.struct(x.alias("label"), F.concat(F.lit("text "), x).alias("text"))
+        ).alias("options"),
+    )
+    last = region.where("role = 'cond'").groupBy("qid").agg(
+        F.max_by("logits", F.struct("step", "letter")).alias("logits")
+    )
+    return {
+        "mcq": mcq,
+        "trace": region,
+        "last": last.join(questions, "qid"),
+        "buckets": BUCKETS,
+        "states": by_option(fixtures.states(spark, sf_dir)),
+        "attention": by_option(fixtures.attention(spark, sf_dir)),
+    }
+
+
+def question_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From traces to the collapsed table: per question, how many options have each kind of evidence."""
+    records = checkpointed(question_records(**_question_inputs(spark, sf_dir)))
+    table = option_table(records)
+    kinds = ("pmil", "pmic", "e_letter", "e_content", "icrp_layer_delta_mean", "fcm_prob")
+    counts = table.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("options"), *[F.count(k).alias(f"with_{k}") for k in kinds]
+    )
+    collapsed = collapse(table, carry=("dataset",)).select(
+        "qid", "dataset", "gold", F.col("pmil_gap_top1_top2").isNotNull().alias("has_gap")
+    )
+    return collapsed.join(counts, "qid")
+
+
+COVERAGE_SQL = f"""WITH {REGION}, o AS (SELECT qid, letter,
+  CAST(bool_or(role = 'cond') AND bool_or(role = 'uncond') AS INT) AS both_roles,
+  CAST(bool_or(role = 'cond') AS INT) AS cond FROM rg GROUP BY qid, letter),
+sq AS (SELECT DISTINCT CAST(CAST(floor(floor(vec_id / 40e0) / 4e0) AS BIGINT) AS VARCHAR) AS qid,
+  substr('ABCD', CAST(vec_id // 40 % 4 AS INT) + 1, 1) AS letter FROM embeddings),
+n AS (SELECT qid, count(*) AS options, CAST(sum(both_roles) AS BIGINT) AS pmi,
+  CAST(sum(cond) AS BIGINT) AS cond, count(sq.letter) AS seqs FROM o LEFT JOIN sq USING (qid, letter) GROUP BY qid)
+SELECT qid, CASE WHEN CAST(qid AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset,
+  (SELECT min(letter) FROM o WHERE o.qid = n.qid) AS gold, pmi > 0 AS has_gap, options,
+  pmi AS with_pmil, pmi AS with_pmic, cond AS with_e_letter, cond AS with_e_content,
+  seqs AS with_icrp_layer_delta_mean, options AS with_fcm_prob FROM n"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         trace_softmax, trace_steps, trace_aggregate, trace_mean_nll, trace_features, trace_region,
         trace_spans, trace_letter_evidence, trace_content_evidence, trace_buckets,
         letter_distribution, letter_statistics, letter_votes, letter_raw_logits, vector_layers,
-        vector_steps, vector_attention, vector_sequence, vector_pool,
+        vector_steps, vector_attention, vector_sequence, vector_pool, question_features,
     )
 }
 
 ORACLES = {
+    "question_features": COVERAGE_SQL,
     "trace_softmax": f"WITH {PLAIN} SELECT vec_id, i, {q6s('p', 'lp')} FROM sp",
     "trace_steps": STEPS_SQL,
     "trace_aggregate": AGGREGATE_SQL,
