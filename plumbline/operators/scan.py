@@ -152,12 +152,15 @@ def hashed_scan(
     Ids must be unique. The piece is the top bits of the hash: a stratum of any size spreads over
     up to 2^20 pieces, and the offsets come from one narrow count.
     """
-    strata, ids = list(strata), list(id_columns)
+    ids = list(id_columns)
     hashed = df.withColumn("_h", keyed_hash(ids, seed)).withColumn(
         "_piece", F.shiftright("_h", HASH_BITS - HASH_PIECE_BITS)
     )
-    pieces = [*strata, "_piece"]
-    group = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
+    # Wrapped in a struct, NULL is a stratum like any other, and equal to itself in a join.
+    keys = [f"_stratum{i}" for i in range(len(strata))]
+    hashed = hashed.withColumns({k: F.struct(c) for k, c in zip(keys, strata)})
+    pieces = [*keys, "_piece"]
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         hashed.groupBy(*pieces)
@@ -169,12 +172,14 @@ def hashed_scan(
         )
     )
     inside = Window.partitionBy(*pieces).orderBy("_h", *ids)
-    local = hashed.withColumn("_local", F.row_number().over(inside))
-    same = reduce(and_, [local[c].eqNullSafe(offsets[c]) for c in pieces])
-    return local.join(offsets, same).select(
-        *[local[c] for c in df.columns],
-        (F.col("_local") + F.col("_before")).alias("position"),
-        F.col("stratum_size"),
+    return (
+        hashed.withColumn("_local", F.row_number().over(inside))
+        .join(offsets, pieces)
+        .select(
+            *df.columns,
+            (F.col("_local") + F.col("_before")).alias("position"),
+            F.col("stratum_size"),
+        )
     )
 
 

@@ -1,5 +1,6 @@
 """Every registered query against its SQL text on the smallest tables."""
 import os
+import re
 
 import pytest
 
@@ -8,7 +9,9 @@ from compare import differences, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SLOW = {"cross_validated_bag", "score_saved_detector", "fit_detector", "whole_run"}
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# The training-data subpackage has a test folder of its own.
+QUERIES = {n: q for n, q in entry.queries().items() if not re.match(r"op\d+_|pipeline$", n)}
+ORACLES = {n: s for n, s in entry.oracle_sql().items() if n in QUERIES}
 
 
 @pytest.fixture(scope="module")
