@@ -38,6 +38,11 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("t"))
 
 
+def _draw(seed: int, *columns: str) -> Column:
+    """A pseudorandom text to order by, the same in every engine that has md5."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """Add `target` to a table (key, source_size): shares by weight, none above `most` sizes.
 
@@ -125,7 +130,7 @@ def mix(
         "key",
         "block",
         F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass"),
-    ).withColumn("_order", F.xxhash64(F.lit(seed), "key", "pass", "block"))
+    ).withColumn("_order", _draw(seed, "key", "pass", "block"))
     permuted = prefix_sums(
         passes.withColumn("_one", F.lit(1)), ["_order", "block"], "_one", scratch, ["key", "pass"]
     )
@@ -133,7 +138,7 @@ def mix(
         permuted.join(quotas.select("key", "blocks", "quota"), "key")
         .withColumn("k", F.col("pass") * F.col("blocks") + F.col("position"))
         .where("k < quota")
-        .select("key", "block", "pass", "k", F.xxhash64(F.lit(seed + 1), "key", "k").alias("_order"))
+        .select("key", "block", "pass", "k", _draw(seed + 1, "key", "k").alias("_order"))
     )
     slots = prefix_sums(taken.withColumn("_one", F.lit(1)), ["_order", "key", "k"], "_one", scratch).select(
         F.expr(f"position div {shard_slots}").alias("shard"),

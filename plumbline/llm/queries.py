@@ -6,6 +6,7 @@ from .jaccard import op6_jaccard_join
 from .language import op9_language
 from .mixing import op10_mixing
 from .ngram_trie import op2_language_model
+from .oracles import ORACLES
 from .packing import op5_packing
 from .quality import op7_quality_rules
 from .rans import op3_token_files
@@ -25,4 +26,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+

@@ -52,10 +52,3 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
-
-# crc32 by its published rule: the reflected polynomial 0xEDB88320, a byte at a time.
-CRC32_SQL = """
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({t})::BIGINT),
-        i -> ('0x' || substr(hex(encode({t})), 2 * i + 1, 2))::BIGINT)),
-        (a, b) -> xor(a >> 8, crc_table[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)
-"""
