@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import prediction_error
 from .mcq import explode_options
 from .options import centre, latest_per_option
-from .trace import letter_evidence, option_evidence
+from .trace import LENGTHS, letter_evidence, option_evidence
 from .vectors import sequence_features, step_series
 
 # Metrics of an option that a record keeps under `<letter>_<metric>`.
@@ -43,7 +43,8 @@ def question_records(
     options = latest_per_option(explode_options(mcq).select(*on, *rest, "pos"), on, ["pos"])
     joined = options
     for view, span in (("letter", "first"), ("content", "all")):
-        joined = joined.join(option_evidence(trace, view, span, on), on, "left")
+        evidence = option_evidence(trace, view, span, on)
+        joined = joined.join(evidence.drop(*set(evidence.columns) & set(LENGTHS) & set(joined.columns)), on, "left")
     if states is not None:
         vectors = sequence_features(step_series(states, attention, keys=on), on)
         joined = joined.join(vectors.drop("icrp_pool_vec"), on, "left")

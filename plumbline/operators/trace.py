@@ -20,6 +20,12 @@ VOTE_SEED = 1234
 LOG_FLOOR = 1e-8
 EMPTY_BUCKET = -1e9
 MAX_LETTERS = 26
+# Length columns of an evidence row -> columns of the trace.
+LENGTHS = {
+    "llmc_prompt_len": "prompt_len",
+    "llmc_total_len": "total_len",
+    "llmc_resp_len": "resp_len",
+}
 
 
 def step_statistics(trace: DataFrame, logits: str = "logits") -> DataFrame:
@@ -219,12 +225,15 @@ def option_evidence(
         .otherwise(length)
     inside = (F.col("step") >= start) & (F.col("step") < start + length)
     reachable = (F.col("role") == "cond") | (room > 0)
+    # The lengths of the conditional pass go with its evidence, where the trace has them.
+    lengths = {n: c for n, c in LENGTHS.items() if c in trace.columns}
     summed = trace.where(inside & reachable).select(
-        *keys, "role", "logits", "target_id", logit_summary("logits").alias("_s")
+        *keys, "role", "logits", "target_id", *lengths.values(), logit_summary("logits").alias("_s")
     )
     scored = summed.select(
         *keys,
         "role",
+        *lengths.values(),
         (-target_logprob("logits", F.col("_s.logsumexp"))).alias("_nll"),
         F.when(F.col("role") == "cond", F.col("_s.clamped_entropy")).alias("_entropy"),
     )
@@ -235,6 +244,7 @@ def option_evidence(
         finite(F.avg(F.when(~cond, F.col("_nll")))).alias(f"{prefix}ce_uncond"),
         F.avg("_entropy").alias("_entropy"),
         F.count_if(cond).alias(f"{prefix}span_len"),
+        *[F.max(F.when(cond, F.col(source))).alias(name) for name, source in lengths.items()],
     )
     result = grouped.select(
         *keys,
@@ -245,6 +255,7 @@ def option_evidence(
             f"{prefix}logit_entropy_mean"
         ),
         f"{prefix}span_len",
+        *lengths,
     )
     if options is not None:
         result = options.select(*keys).join(result, list(keys), "left").withColumn(

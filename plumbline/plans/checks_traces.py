@@ -198,8 +198,8 @@ def _evidence(spark: SparkSession, sf_dir: str, view: str, span: str) -> DataFra
     keys = region.select("qid", "letter").distinct()
     options = keys.unionByName(keys.select("qid", F.lower("letter").alias("letter")))
     table = tr.option_evidence(region, view, span, options=options)
-    names = [c for c in table.columns if c not in ("qid", "letter", f"llmc_{view}_span_len")]
-    return table.select("qid", "letter", f"llmc_{view}_span_len", *r6s(*names))
+    plain = ["qid", "letter", f"llmc_{view}_span_len", *tr.LENGTHS]
+    return table.select(*plain, *r6s(*[c for c in table.columns if c not in plain]))
 
 
 def trace_letter_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,12 +219,13 @@ def _evidence_sql(view: str, start: str, length: str) -> str:
 us AS (SELECT rg.*, h, nll FROM rg JOIN hs USING (vec_id)
   WHERE step >= {start} AND step < {start} + {length}),
 ev AS (SELECT qid, letter, avg(nll) FILTER (role = 'cond') AS a, avg(nll) FILTER (role = 'uncond')
-  AS b, avg(h) FILTER (role = 'cond') AS h, count(*) FILTER (role = 'cond') AS n FROM us
+  AS b, avg(h) FILTER (role = 'cond') AS h, count(*) FILTER (role = 'cond') AS n,
+  max(prompt_len) FILTER (role = 'cond') AS pl, max(resp_len) FILTER (role = 'cond') AS rl FROM us
   GROUP BY qid, letter),
 ks AS (SELECT DISTINCT qid, letter FROM rg),
-fu AS (SELECT ks.qid, ks.letter, a, b, h, coalesce(n, 0) AS n FROM ks LEFT JOIN ev USING (qid, letter)
-  UNION ALL SELECT qid, lower(letter), NULL, NULL, NULL, 0 FROM ks)
-SELECT qid, letter, n AS llmc_{view}_span_len, {q6("a", names[0])}, {q6("b", names[1])},
+fu AS (SELECT ks.qid, ks.letter, a, b, h, coalesce(n, 0) AS n, pl, rl FROM ks LEFT JOIN ev USING (qid, letter)
+  UNION ALL SELECT qid, lower(letter), NULL, NULL, NULL, 0, NULL, NULL FROM ks)
+SELECT qid, letter, n AS llmc_{view}_span_len, pl AS llmc_prompt_len, pl + rl AS llmc_total_len, rl AS llmc_resp_len, {q6("a", names[0])}, {q6("b", names[1])},
   {q6("b - a", names[2])}, {q6("CASE WHEN a IS NOT NULL THEN h END", names[3])},
   {q6("b - a", aliases[0])}, {q6("a", aliases[1])}, {q6("b", aliases[2])} FROM fu"""
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that `checkpointed` writes inside the block when the block ends. For jobs
+    that have written their results by then; a DataFrame that still reads such a table fails."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _written[start:]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _written[start:]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` once below the checkpoint folder and read it back.
 
@@ -32,5 +52,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
