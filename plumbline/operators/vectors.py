@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import total
 from ..functions.vectorised import NORM_FLOOR, change_summary
+from ..session import checkpointed
 from .scan import exact_quantiles, neighbours
 
 DEFAULT_LAYERS = (-4, -3, -2, -1)
@@ -114,8 +115,12 @@ def step_series(
 
 
 def sequence_features(series: DataFrame, keys: Sequence[str] = ("seq",)) -> DataFrame:
-    """One row per sequence: means, variation, 95 % points, consistency, pooled vector, length."""
+    """One row per sequence: means, variation, 95 % points, consistency, pooled vector, length.
+
+    The series, a few numbers per step, are written once: tails and moments both read them, and the
+    vectors behind them are reduced and moved only once."""
     keys = list(keys)
+    series = checkpointed(series.select(*keys, *SERIES))
     points = F.array(
         *[F.struct(F.lit(s).alias("series"), F.col(s).alias("value")) for s in SERIES]
     )
