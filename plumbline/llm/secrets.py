@@ -40,6 +40,8 @@ _ASSIGNED = re.compile(
     r"(?i)\b[\w\-]*(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth|credential)s?"
     r"[\w\-]*[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"',;]{6,})"
 )
+#: Every name in _ASSIGNED holds one of these; a text without them is not searched for assignments.
+_STEMS = ("token", "secret", "passw", "pwd", "key", "auth", "credential")
 _KEYED = re.compile(r"(?i)(token|secret|passw(or)?d|pwd|key|auth|credential|bearer)s?\b")
 _PLAIN = re.compile(r"(?i)\b(commit|sha\d*|md5|hash|digest|checksum|uuid|guid|version|id|isbn|phone|tel)\b")
 _ASSIGN = re.compile(r"(?::=|=>|=|:)\s{0,3}[\"']?$")
@@ -54,7 +56,9 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xo
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans, in order, none inside another."""
     spans = {m.span() for m in _SHAPE.finditer(text) if any(c.isdigit() for c in m.group())}
-    spans |= {m.span(1) for m in _ASSIGNED.finditer(text)}
+    lowered = text.lower()
+    if any(stem in lowered for stem in _STEMS):
+        spans |= {m.span(1) for m in _ASSIGNED.finditer(text)}
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
         while b > a and text[b - 1] in ".=-_/+" and text[b - 1] != "=":
