@@ -147,11 +147,16 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def core_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    core = met.core_metrics(_systems(spark, sf_dir, "test"), keys=["system"])
+    """Both systems on both splits, so that every row is read."""
+    calib, test = (
+        _systems(spark, sf_dir, split).withColumn("system", F.concat("system", F.lit(f"_{split}")))
+        for split in ("calib", "test")
+    )
+    core = met.core_metrics(calib.unionByName(test), keys=["system"])
     return core.select("system", *r6s("auroc", "auprc", "brier", "ece"))
 
 
-CORE_SQL = f"""WITH {SYSTEMS}, te AS (SELECT * FROM sys WHERE split = 'test'),
+CORE_BODY = f"""
 g AS (SELECT system, p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg
   FROM te GROUP BY system, p),
 s AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY system ORDER BY p ROWS BETWEEN UNBOUNDED
@@ -165,6 +170,10 @@ bi AS ({_bins(ECE_BINS, "te", "system")}),
 e AS (SELECT system, {ECE_VALUE} AS d FROM bi GROUP BY system)
 SELECT system, {q6("a", "auroc")}, {q6("b", "auprc")}, {q6("c", "brier")}, {q6("d", "ece")}
 FROM r JOIN br USING (system) JOIN e USING (system)"""
+CORE_SQL = f"WITH {SYSTEMS}, te AS (SELECT * FROM sys WHERE split = 'test')," + CORE_BODY
+BUNDLE_SQL = (
+    f"WITH {SYSTEMS}, te AS (SELECT * REPLACE (system || '_' || split AS system) FROM sys)," + CORE_BODY
+)
 
 
 def tau_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,8 +321,12 @@ SELECT row_id, {q6("least(greatest(coalesce(z, m), 0e0), 1e0)", "confidence")} F
 
 
 def curve_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = cmp.curve_comparison(_systems(spark, sf_dir, "test"))
-    return wide.select(*r6s(*wide.columns))
+    calib, test = (
+        cmp.curve_comparison(_systems(spark, sf_dir, split)).withColumn("split", F.lit(split))
+        for split in ("calib", "test")
+    )
+    both = calib.unionByName(test)
+    return both.select("split", *r6s(*[c for c in both.columns if c != "split"]))
 
 
 _CURVE_NAMES = ["aurc", "auacc", *COVERAGES]
@@ -323,12 +336,13 @@ def _side_sql(name: str, system: str) -> str:
     return f"max(CASE WHEN system = '{system}' THEN {name} END)"
 
 
-CURVE_COMPARE_SQL = f"""WITH {SYSTEMS}, te AS (SELECT * FROM sys WHERE split = 'test'),
+CURVE_COMPARE_SQL = " UNION ALL ".join(f"""(WITH {SYSTEMS}, te AS (SELECT * FROM sys WHERE split = '{split}'),
 {_curve_sql("te", "system")},
 s AS (SELECT system, {AREAS}, {COVERED} FROM tz GROUP BY system)
-SELECT {", ".join(q6(_side_sql(n, s), f"{n}_{s}") for n in _CURVE_NAMES for s in ("det", "base"))},
+SELECT '{split}' AS split, {", ".join(q6(_side_sql(n, s), f"{n}_{s}") for n in _CURVE_NAMES for s in ("det", "base"))},
   {", ".join(q6(f"{'-1' if n == 'aurc' else '1'} * ({_side_sql(n, 'det')} - "
-                f"{_side_sql(n, 'base')})", f"gain_{n}") for n in _CURVE_NAMES)} FROM s"""
+                f"{_side_sql(n, 'base')})", f"gain_{n}") for n in _CURVE_NAMES)} FROM s)"""
+                                       for split in ("calib", "test"))
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,7 +429,7 @@ ORACLES = {
     "count(*) FILTER (y = 1 AND p >= 5e-1) AS tp, 5e-1 AS threshold, "
     + q6("avg(CASE WHEN (y = 1) = (p >= 5e-1) THEN 1e0 ELSE 0e0 END)", "accuracy")
     + " FROM det GROUP BY split",
-    "core_bundle": CORE_SQL,
+    "core_bundle": BUNDLE_SQL,
     "tau_nearest": f"WITH {DET}, {_tau_sql('det', 'split')} SELECT split, target, {q6('tau')} "
     "FROM tau",
     "abstention_table": ABSTENTION_SQL,
