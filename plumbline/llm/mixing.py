@@ -194,13 +194,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             F.sum(F.col("end_word") - F.col("first_word")).alias("_words"),
         )
         .join(numbered, ["key", "position"])
-        .select("doc_id", "key", "_text", "_copy", "_spans", (F.col("_words") == F.col("size")).alias("_whole"))
+        .select(
+            F.col("doc_id").alias("_id"),
+            F.col("key").alias("_key"),
+            "_text",
+            "_copy",
+            "_spans",
+            (F.col("_words") == F.col("size")).alias("_whole"),
+        )
     )
-    again = Window.partitionBy("doc_id", "key", "_text").orderBy(F.lit(0))
+    again = Window.partitionBy("_id", "_key", "_text").orderBy(F.lit(0))
     texts = docs.withColumns(
-        {"key": source_key(F.col("source")), "_text": F.xxhash64("text")}
+        {"_id": F.col("doc_id"), "_key": source_key(F.col("source")), "_text": F.xxhash64("text")}
     ).withColumn("_copy", F.row_number().over(again))
-    same = [texts[c].eqNullSafe(spans[c]) for c in ("doc_id", "key", "_text", "_copy")]
+    same = [texts[c].eqNullSafe(spans[c]) for c in ("_id", "_key", "_text", "_copy")]
     words = F.split(F.regexp_replace("text", r"^[ \t-\r]+", ""), WORD_STARTS)
     cut = F.array_join(
         F.flatten(

@@ -170,9 +170,9 @@ def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
             "_text": F.xxhash64("text"),
         }
     )
-    joined = keyed.join(good, (F.col("_host") == good["host"]) & (F.col("_text") == good["text_hash"])).select(
-        *[keyed[c] for c in docs.columns], F.col("removed").alias("_removed")
-    )
+    good = good.toDF("_kept_host", "_kept_text", "_removed")
+    same = (F.col("_host") == F.col("_kept_host")) & (F.col("_text") == F.col("_kept_text"))
+    joined = keyed.join(good, same).select(*docs.columns, "_removed")
     out = joined.mapInArrow(strip, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -94,9 +94,10 @@ def test_slots_follow_the_method(spark):
 
 
 def test_mixed_documents_hold_the_words_taken(spark, table):
-    docs = rows_of(spark)
+    docs = rows_of(spark).withColumn("key", F.col("doc_id") * 2).withColumn("size", F.lit("x"))
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
+    assert mixed.where("key <> doc_id * 2 or size <> 'x'").count() == 0
     count = F.sum(F.regexp_count("text", F.lit(mixing.WORD)))
     assert mixed.select(count).first()[0] == mixing.op10_mixing(spark, table).agg(F.sum("taken")).first()[0]
     texts = {r.text for r in docs.collect()}

@@ -115,6 +115,7 @@ def test_quality_verdicts(spark):
         lost = gone[r.source, r.text]
         want[r.doc_id, lost, not (n < 50 or 100 * again > 50 * n) and 2 * lost <= n] += 1
     assert got == want and any(gone.values())
+    docs = docs.withColumn("removed", F.lit(1)).withColumn("host", F.lit(2))
     clean = quality.clean_documents(docs)
     assert clean.columns == docs.columns and clean.count() == sum(r.kept for r in quality.verdicts(docs, "source", Scratch(spark))[0].collect())
 
