@@ -300,11 +300,15 @@ def abstention_metrics(
     targets = thresholds.groupBy(*base).agg(
         F.collect_list(F.struct("target", "tau")).alias("_targets")
     )
-    # One row per key, or one row in all: the optimizer broadcasts what it measures to be small.
     if base:
+        # One row per key: the optimizer broadcasts what it measures to be small.
         rows = df.join(targets, base)
     else:
-        rows = df.withColumn("_all", F.lit(1)).join(targets.withColumn("_all", F.lit(1)), "_all")
+        # One row in all, a number per target: a join without a key would be a nested loop.
+        row = targets.first()
+        fixed = row["_targets"] if row else []
+        pairs = [F.struct(F.lit(t.target).alias("target"), F.lit(t.tau).alias("tau")) for t in fixed]
+        rows = df.withColumn("_targets", F.array(*pairs).cast(targets.schema["_targets"].dataType))
     expanded = rows.select(*base, F.col(p).alias("_p"), F.col(y).alias("_y"), F.inline("_targets"))
     group = [*base, "target", "tau"]
     sums = (

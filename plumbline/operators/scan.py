@@ -230,7 +230,11 @@ def hashed_parts(
         same = reduce(and_, [hashed[c].eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)])
         rows = hashed.join(cuts, same)
     else:
-        rows = hashed.withColumn("_all", F.lit(0)).join(cuts.withColumn("_all", F.lit(0)), "_all")
+        # One row: a few numbers per cut.
+        row = cuts.first()
+        if row is None:
+            return df.withColumn("_part", F.lit(0))
+        rows = hashed.withColumns({c: F.lit(row[c]).cast("bigint") for c in cuts.columns})
     at_cut = reduce(or_, [F.coalesce(F.col("_piece") == F.col(f"_cut{i}"), F.lit(False)) for i in range(len(edges))])
     part = F.lit(len(edges))
     for i in reversed(range(len(edges))):
