@@ -31,6 +31,7 @@ FAMILIES = {
 WIDTH = 1 << 12
 SAMPLE_PER_LANGUAGE = 1500
 ITERATIONS = 40
+FIT_PARTITIONS = 8
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -89,7 +90,8 @@ def fit(docs: DataFrame, scratch: Scratch, per_language: int = SAMPLE_PER_LANGUA
     groups: dict[str, list[str]] = {}
     for lang in langs:
         groups.setdefault(family_of(lang), []).append(lang)
-    rows = rows.cache()
+    # The sample is bounded, so a few partitions hold it; each step of the solver is a job over them.
+    rows = rows.coalesce(FIT_PARTITIONS).cache()
     try:
         between = {
             (a, b): _machine(rows.where(F.col("lang").isin(groups[a] + groups[b])), groups[a])
