@@ -12,7 +12,7 @@ from . import fixtures
 from .fixture_sql import SCORED
 from .rounding import q6, q6s, r6s
 
-N_BOOT = 20
+N_BOOT = 1000
 BOOT_SEED = 1337
 ECE_BINS, REL_BINS = 15, 12
 TARGETS = met.ACCURACY_TARGETS
