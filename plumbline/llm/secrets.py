@@ -6,8 +6,9 @@ between character classes, how much of it dictionary words cover, the document's
 or a path that the candidate is part of) and the neighbouring words. It is trained from labelled
 findings; `weak_labels` makes such labels from rules where no people have made them.
 
-The dictionary and the forest come from bounded samples (`DICTIONARY_DOCUMENTS`, `SAMPLE_FINDINGS`,
-drawn by hash); every text is searched whole and every candidate is judged.
+The dictionary holds the words of at least `DICTIONARY_LEAST` documents, counted over all of them; it
+is a table, and the words of candidates and of their neighbours are joined to it. Every text is
+searched whole and every candidate is judged.
 
 Nulls: a null or empty text has no findings; a null doc_id or path is kept as null and counts as an
 empty path. Repeated rows have findings of their own. Without both labels in the sample, the label
@@ -29,8 +30,7 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 SAMPLE_FINDINGS = 20_000
-DICTIONARY_DOCUMENTS = 2_000
-DICTIONARY_LEAST = 5  # documents of the sample that hold a word
+DICTIONARY_LEAST = 5  # documents that hold a word
 TREES, DEPTH, SEED = 30, 8, 11
 THRESHOLD = 0.5
 NEAR = 48  # characters looked at on each side
@@ -90,7 +90,13 @@ def weak_label(text: str, a: int, b: int) -> int | None:
     return None if _HEX.match(value) and len(value) >= 32 else 0
 
 
-def finding_features(text: str, a: int, b: int, path: str, words: frozenset) -> list[float]:
+#: Places of the two features that the dictionary gives, and of the length.
+COVERED, KNOWN, LENGTH = 24, 35, 0
+
+
+def finding_features(text: str, a: int, b: int, path: str) -> tuple[list[float], list[tuple[str, int, int]], int]:
+    """The features without what the dictionary gives; the distinct words asked of it, each with the
+    characters that it covers of the value and its times around it; and the number of words around."""
     value, before, after = text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR]
     n = len(value)
     kinds = [_class(c) for c in value]
@@ -99,18 +105,19 @@ def finding_features(text: str, a: int, b: int, path: str, words: frozenset) ->
     entropy = -sum(k / n * math.log2(k / n) for k in letters.values())
     pairs = Counter(zip(value, value[1:]))
     pair_entropy = -sum(k / max(1, n - 1) * math.log2(k / max(1, n - 1)) for k in pairs.values())
-    covered = sum(len(w) for w in _LETTERS.findall(value) if w.lower() in words)
-    around = [w for w in re.findall(r"[^\W\d_]+", before)[-3:] + re.findall(r"[^\W\d_]+", after)[:3]]
-    known = sum(w.lower() in words for w in around) / max(1, len(around))
+    around = re.findall(r"[^\W\d_]+", before)[-3:] + re.findall(r"[^\W\d_]+", after)[:3]
+    covers, times = Counter(), Counter(w.lower() for w in around)
+    for w in _LETTERS.findall(value):
+        covers[w.lower()] += len(w)
     joined = f"{path} {value if '/' in value else ''}".lower()
-    return [
+    features = [
         float(n),
         math.log(n),
         *[kinds.count(k) / n for k in range(4)],
         *[steps[i, j] / max(1, n - 1) for i in range(4) for j in range(4)],
         entropy,
         pair_entropy,
-        covered / n,
+        0.0,
         float(bool(_HEX.match(value))),
         float(bool(_NUMBER.match(value))),
         float(value.startswith(PREFIXES)),
@@ -121,45 +128,74 @@ def finding_features(text: str, a: int, b: int, path: str, words: frozenset) ->
         float(bool(_PLAIN.search(before))),
         float(bool(_ASSIGN.search(before))),
         float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(before)),
-        known,
+        0.0,
     ]
+    # The dictionary has words of four letters or more only.
+    asked = sorted(w for w in covers.keys() | times.keys() if len(w) >= 4)
+    return features, [(w, covers[w], times[w]) for w in asked], len(around)
 
 
-def dictionary(docs: DataFrame, documents: int = DICTIONARY_DOCUMENTS, least: int = DICTIONARY_LEAST) -> frozenset:
-    """Words of four letters or more in `least` documents of a sample of about `documents`."""
-    total = docs.count()
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    words = (
-        docs.where(draw < documents / max(total, 1))
-        .select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{4,}"), F.lit(0)))).alias("w"))
-        .groupBy("w")
+def dictionary(docs: DataFrame, least: int = DICTIONARY_LEAST) -> DataFrame:
+    """(word): words of four letters or more in at least `least` of all documents."""
+    return (
+        docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{4,}"), F.lit(0)))).alias("word"))
+        .groupBy("word")
         .count()
         .where(F.col("count") >= least)
+        .select("word")
     )
-    return frozenset(r[0] for r in words.select("w").collect())
-
 
-FOUND_SCHEMA = "doc_id bigint, start int, end int, weak_label int, features array<double>, row_hash bigint"
 
+FOUND_SCHEMA = (
+    "id bigint, doc_id bigint, start int, end int, weak_label int, features array<double>, row_hash bigint,"
+    " asked array<struct<word:string,chars:int,times:int>>, around int"
+)
 
-def findings(docs: DataFrame, words: frozenset, path: str = "source") -> DataFrame:
-    """All candidates of (doc_id, text, path) with features and weak labels; spans in code points."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, text, where, row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                for a, b in candidates(text or ""):
-                    out.append((doc_id, a, b, weak_label(text, a, b), finding_features(text, a, b, where or "", words), row))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int64()]
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "end", "weak_label", "features", "row_hash"]
-            )
 
-    return docs.select(
-        F.col("doc_id").cast("bigint"), "text", F.col(path).cast("string"), F.xxhash64("text")
-    ).mapInArrow(run, FOUND_SCHEMA)
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, path, row_hash) -> all candidates with what the dictionary is asked."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 33
+    asks = pa.list_(pa.struct([("word", pa.string()), ("chars", pa.int32()), ("times", pa.int32())]))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int64(), asks, pa.int32()]
+    names = ["id", "doc_id", "start", "end", "weak_label", "features", "row_hash", "asked", "around"]
+    for batch in batches:
+        out = []
+        for doc_id, text, where, row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            for a, b in candidates(text or ""):
+                features, asked, around = finding_features(text, a, b, where or "")
+                asked = [dict(zip(("word", "chars", "times"), w)) for w in asked]
+                out.append((number, doc_id, a, b, weak_label(text, a, b), features, row, asked, around))
+                number += 1
+        columns = list(zip(*out)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def findings(docs: DataFrame, words: DataFrame, scratch: Scratch, path: str = "source") -> DataFrame:
+    """All candidates of (doc_id, text, path) with features and weak labels; spans in code points.
+
+    The join moves the words of candidates, not the dictionary; a frequent word has one row in it, so
+    its candidates can be split over tasks."""
+    raw = scratch.save(
+        docs.select(F.col("doc_id").cast("bigint"), "text", F.col(path).cast("string"), F.xxhash64("text")).mapInArrow(
+            _search, FOUND_SCHEMA
+        )
+    )
+    hits = (
+        raw.select("id", F.inline("asked"))
+        .join(words, "word")
+        .groupBy("id")
+        .agg(F.sum("chars").alias("_chars"), F.sum("times").alias("_times"))
+    )
+    shares = {
+        COVERED: F.coalesce("_chars", F.lit(0)) / F.col("features")[LENGTH],
+        KNOWN: F.coalesce("_times", F.lit(0)) / F.greatest("around", F.lit(1)),
+    }
+    whole = F.transform("features", lambda x, i: F.when(i == COVERED, shares[COVERED]).when(i == KNOWN, shares[KNOWN]).otherwise(x))
+    return raw.join(hits, "id", "left").select(
+        "id", "doc_id", "start", "end", "weak_label", whole.alias("features"), "row_hash"
+    )
 
 
 def train_forest(labelled: DataFrame, label: str):
@@ -187,8 +223,8 @@ def judge(found: DataFrame, forest, threshold: float = THRESHOLD) -> DataFrame:
 
 def scan(docs: DataFrame, scratch: Scratch, path: str = "source") -> DataFrame:
     """Findings of all documents, judged by a forest trained on their weakly labelled sample."""
-    words = dictionary(docs)
-    found = scratch.save(findings(docs, words, path))
+    words = scratch.save(dictionary(docs))
+    found = scratch.save(findings(docs, words, scratch, path))
     labelled = found.where("weak_label is not null")
     total = labelled.count()
     draw = F.pmod(F.xxhash64("doc_id", "start", "row_hash"), F.lit(1 << 30)) / float(1 << 30)
