@@ -11,8 +11,9 @@ is a table, and the words of candidates and of their neighbours are joined to it
 searched whole and every candidate is judged.
 
 Nulls: a null or empty text has no findings; a null doc_id or path is kept as null and counts as an
-empty path. Repeated rows have findings of their own. Without both labels in the sample, the label
-rules decide alone.
+empty path. Repeated rows have findings of their own. The forest is trained on a bounded sample of
+each label, both with the same total weight; only if the whole table lacks a label, the label rules
+decide alone.
 """
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch
 
-SAMPLE_FINDINGS = 20_000
+SAMPLE_FINDINGS = 20_000  # of each label
 DICTIONARY_LEAST = 5  # documents that hold a word
 TREES, DEPTH, SEED = 30, 8, 11
 THRESHOLD = 0.5
@@ -198,14 +199,34 @@ def findings(docs: DataFrame, words: DataFrame, scratch: Scratch, path: str = "s
     )
 
 
+def label_counts(labelled: DataFrame, label: str) -> dict[int, int]:
+    counts = labelled.where(F.col(label).isNotNull()).groupBy(label).count().collect()
+    return {int(r[label]): r["count"] for r in counts}
+
+
+def label_sample(labelled: DataFrame, label: str, most: int = SAMPLE_FINDINGS) -> DataFrame:
+    """Of each label all findings, or a hash sample of about `most` if there are more. The hash holds
+    the finding's number, so that repeated rows are drawn one by one."""
+    draw = F.pmod(F.xxhash64("doc_id", "start", "row_hash", "id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.lit(0.0)
+    for value, count in label_counts(labelled, label).items():
+        share = F.when(F.col(label) == value, F.lit(most / count)).otherwise(share)
+    return labelled.where(draw < share)
+
+
 def train_forest(labelled: DataFrame, label: str):
-    """A forest from labelled findings (features, label 0 or 1), or None without both labels."""
+    """A forest from labelled findings (features, label 0 or 1), or None without both labels. Both
+    labels have the same total weight."""
+    counts = label_counts(labelled, label)
+    if len(counts) < 2:
+        return None
+    weight = F.lit(0.0)
+    for value, count in counts.items():
+        weight = F.when(F.col(label) == value, F.lit(sum(counts.values()) / (2.0 * count))).otherwise(weight)
     data = labelled.where(F.col(label).isNotNull()).select(
-        F.col(label).cast("double").alias("label"), array_to_vector("features").alias("features")
+        F.col(label).cast("double").alias("label"), array_to_vector("features").alias("features"), weight.alias("weight")
     )
-    if data.select("label").distinct().count() < 2:
-        return None
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(data)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(data)
 
 
 def judge(found: DataFrame, forest, threshold: float = THRESHOLD) -> DataFrame:
@@ -225,10 +246,7 @@ def scan(docs: DataFrame, scratch: Scratch, path: str = "source") -> DataFrame:
     """Findings of all documents, judged by a forest trained on their weakly labelled sample."""
     words = scratch.save(dictionary(docs))
     found = scratch.save(findings(docs, words, scratch, path))
-    labelled = found.where("weak_label is not null")
-    total = labelled.count()
-    draw = F.pmod(F.xxhash64("doc_id", "start", "row_hash"), F.lit(1 << 30)) / float(1 << 30)
-    sample = scratch.save(labelled.where(draw < SAMPLE_FINDINGS / max(total, 1)))
+    sample = scratch.save(label_sample(found.where("weak_label is not null"), "weak_label"))
     return judge(found, train_forest(sample, "weak_label"))
 
 

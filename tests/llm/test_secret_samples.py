@@ -1,4 +1,4 @@
-"""The dictionary covers all documents."""
+"""The dictionary covers all documents, and the sample of findings holds both labels."""
 from plumbline.llm import secrets
 from plumbline.llm.storage import Scratch
 
@@ -19,3 +19,14 @@ def test_dictionary_features(spark):
     assert row.features[secrets.COVERED] == 4 / 17 and row.features[secrets.KNOWN] == 1 / 4
     (row,) = secrets.findings(docs, words.limit(0), Scratch(spark)).collect()
     assert row.features[secrets.COVERED] == row.features[secrets.KNOWN] == 0
+
+
+def test_sample_keeps_rare_labels(spark):
+    rows = [(i, i, 0, 7, int(i < 3), [float(i < 3), 1.0]) for i in range(3000)]
+    found = spark.createDataFrame(rows, "id bigint, doc_id bigint, start int, row_hash bigint, weak_label int, features array<double>")
+    sample = secrets.label_sample(found, "weak_label", 100)
+    counts = secrets.label_counts(sample, "weak_label")
+    assert counts[1] == 3 and 50 < counts[0] < 200
+    judged = secrets.judge(found, secrets.train_forest(sample, "weak_label"))
+    assert {r.doc_id for r in judged.where("is_secret").collect()} == {0, 1, 2}
+    assert secrets.train_forest(found.where("weak_label = 0"), "weak_label") is None
