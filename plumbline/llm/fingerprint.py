@@ -3,11 +3,15 @@
 With powers B**k and prefix sums of c[k] * B**k modulo two primes, the hash of any span is a
 difference of two prefixes; spans at different places compare after a shift by powers. Longest
 common extensions are found by binary search. A fingerprint is the length and the two hashes of the
-whole text; the likeness of two texts is the share of the longer one that their longest common
-prefix and suffix cover (1 for two empty texts).
+whole text; the likeness of two texts is the share of the longer one that common spans in the same
+order cover (1 for two empty texts): the longest common prefix and suffix, and between them the
+longest common extensions around equal windows of `ANCHOR` characters. Windows of the one text start
+at multiples of ANCHOR; each is paired with its first place in the other and with its places on the
+`SHIFTS` displacements that most windows have, and the longest ordered chain of such pairs is kept.
 """
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -20,6 +24,8 @@ from .storage import Scratch
 
 PRIMES = (2147483647, 2147483629)
 BASE = 1_000_003
+ANCHOR = 16
+SHIFTS = 16
 OUT = [
     ("doc_id", pa.int64(), "bigint"),
     ("n_chars", pa.int64(), "bigint"),
@@ -93,23 +99,92 @@ def extension(a: Hashed, i: int, b: Hashed, j: int) -> int:
     return low
 
 
-def back_extension(a: Hashed, b: Hashed, most: int) -> int:
-    """Longest common suffix, of at most `most` characters."""
+def back_extension(a: Hashed, b: Hashed, most: int, i: int | None = None, j: int | None = None) -> int:
+    """Longest common extension to the left of a[:i] and b[:j] (the ends, if not given), of at most
+    `most` characters."""
+    i, j = a.n if i is None else i, b.n if j is None else j
     low, high = 0, most
     while low < high:
         mid = (low + high + 1) // 2
-        if same_span(a, a.n - mid, b, b.n - mid, mid - low):
+        if same_span(a, i - mid, b, j - mid, mid - low):
             low = mid
         else:
             high = mid - 1
     return low
 
 
+def window_hashes(a: Hashed, starts: np.ndarray, top: int) -> np.ndarray:
+    """One number for each window of ANCHOR characters, moved to place `top` by powers."""
+    out = np.zeros(len(starts), np.uint64)
+    for p, prefix, power in zip(PRIMES, a.prefix, _POWERS.to(top + 1)):
+        q = np.uint64(p)
+        span = (prefix[starts + ANCHOR] + q - prefix[starts]) % q
+        out = (out << np.uint64(32)) | span * power[top - starts] % q
+    return out
+
+
+def anchors(a: Hashed, b: Hashed, head: int, tail: int) -> list[tuple[int, int]]:
+    """The longest chain, ascending in both texts, of equal windows between head and tail."""
+    top = max(a.n, b.n)
+    here = np.arange(head, a.n - tail - ANCHOR + 1, ANCHOR)
+    there = np.arange(head, b.n - tail - ANCHOR + 1)
+    if not len(here) or not len(there):
+        return []
+    asked, held = window_hashes(a, here, top), window_hashes(b, there, top)
+    distinct, which = np.unique(asked, return_inverse=True)
+    at = np.minimum(np.searchsorted(distinct, held), len(distinct) - 1)
+    hits = np.flatnonzero(distinct[at] == held)
+    if not len(hits):
+        return []
+    first = np.full(len(distinct), -1)
+    first[at[hits[::-1]]] = there[hits[::-1]]
+    equal = first[which] >= 0
+    place, goal = [here[equal]], [first[which][equal]]
+    shifts, votes = np.unique(goal[0] - place[0], return_counts=True)
+    for shift in np.union1d(shifts[np.argsort(-votes, kind="stable")[:SHIFTS]], [0, b.n - a.n]):
+        to = here + shift - head
+        inside = np.flatnonzero((to >= 0) & (to < len(there)))
+        hit = here[inside[held[to[inside]] == asked[inside]]]
+        place.append(hit)
+        goal.append(hit + shift)
+    place, goal = np.concatenate(place), np.concatenate(goal)
+    order = np.lexsort((-goal, place))  # goals of one place descend, so a chain holds one of them
+    place, goal = place[order].tolist(), goal[order].tolist()
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(goal)
+    for k, g in enumerate(goal):
+        size = bisect.bisect_left(ends, g)
+        before[k] = last[size - 1] if size else -1
+        ends[size : size + 1] = [g]
+        last[size : size + 1] = [k]
+    chain, k = [], last[-1]
+    while k >= 0:
+        chain.append((place[k], goal[k]))
+        k = before[k]
+    return chain[::-1]
+
+
+def middle(a: Hashed, b: Hashed, head: int, tail: int) -> int:
+    """Characters of common spans, in the same order in both texts, between head and tail."""
+    i = j = head
+    covered = 0
+    for place, goal in anchors(a, b, head, tail):
+        if place < i or goal < j:
+            continue
+        back = back_extension(a, b, min(place - i, goal - j), place, goal)
+        reach = min(extension(a, place, b, goal), a.n - tail - place, b.n - tail - goal)
+        covered += back + reach
+        i, j = place + reach, goal + reach
+    return covered
+
+
 def likeness(a: Hashed, b: Hashed) -> float:
     if not a.n and not b.n:
         return 1.0
     head = extension(a, 0, b, 0)
-    return (head + back_extension(a, b, min(a.n, b.n) - head)) / max(a.n, b.n)
+    tail = back_extension(a, b, min(a.n, b.n) - head)
+    return (head + middle(a, b, head, tail) + tail) / max(a.n, b.n)
 
 
 def compare(doc_id, text: str, follower: str, own: Hashed, nxt: Hashed) -> tuple:
