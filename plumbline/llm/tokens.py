@@ -1,8 +1,9 @@
-"""Token ids of whole texts, exact, with a bounded memory of the words already encoded.
+"""Token ids of whole texts as the tokenizer gives them, with a bounded memory of the words already encoded.
 
 Both vocabularies merge inside words only, so a text's ids are those of its words, each taken with
-the blank or line feed before it. Texts with other white space, or with two blanks in a row, are
-given to the tokenizer whole. A worker keeps its tokenizer and its memory between batches.
+the blank or line feed before it. Texts with other white space, with two blanks in a row, or with the
+string of a special token are given to the tokenizer whole. A worker keeps its tokenizer and its
+memory between batches.
 """
 from __future__ import annotations
 
@@ -13,9 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMORY_WORDS = 700_000
-TEXT_BYTES = 20 << 20  # of text encoded at a time
+MEMORY_BYTES = 96 << 20  # of words kept, as estimated by WORD_BYTES
+WORD_BYTES = 180  # of a kept word beside its letters: string, dictionary entry and ids
+TEXT_BYTES = 4 << 20  # of text encoded at a time
 LONGEST = 64  # characters; longer parts are encoded but not kept
 _PLAIN = re.compile(r"([ \n]?)([^\W\d_]+)([.,]?)")
 _CONTROLS = np.zeros(256, bool)
@@ -32,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def parts(texts: pa.Array, specials: tuple[str, ...] = ()) -> tuple[pa.Array, np.ndarray]:
     """The parts of all texts one after another, and the text that each part belongs to."""
     texts = texts.fill_null("").cast(pa.large_string())
     _, ends, raw = texts.buffers()
@@ -53,6 +56,8 @@ def parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     last = at[1:][at[1:] > at[:-1]] - 1
     rare[last] |= blank[last]
     whole = np.zeros(len(texts), bool)
+    for special in specials:
+        whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
     whole[np.searchsorted(at, np.flatnonzero(rare), "right") - 1] = True
     cuts = np.flatnonzero(blank)
     cuts = cuts[~whole[np.searchsorted(at, cuts, "right") - 1]]
@@ -71,12 +76,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.lower = self.tokenizer.model, lower
+        self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.feed = [] if lower else self.whole(["\n"])[0]
         self.clear()
 
     def clear(self):
+        self.held = 0
         self.rows: dict[str, int] = {}
         self.start = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
@@ -99,8 +105,10 @@ class Encoder:
             if (m := _PLAIN.fullmatch(word)) and m[2].isalpha():
                 blank, letters, mark = m.groups()
                 if self.lower:
+                    # The library lower-cases a sigma without regard to its place in the word.
+                    final = "\u03a3" in letters
                     letters = unicodedata.normalize("NFC", letters).lower()
-                    if not letters.isalpha():
+                    if final or not letters.isalpha():
                         late.append(len(out))
                         out.append([])
                         continue
@@ -119,9 +127,9 @@ class Encoder:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids. A null text is empty."""
-        if len(self.rows) > MEMORY_WORDS:
+        if self.held > MEMORY_BYTES:
             self.clear()
-        found, owner = parts(texts)
+        found, owner = parts(texts, self.specials)
         coded = found.dictionary_encode()
         words = coded.dictionary.to_pylist()
         known = len(self.rows)
@@ -129,9 +137,10 @@ class Encoder:
         for k, word in enumerate(words):
             row = self.rows.get(word)
             if row is None:
-                if len(word) > LONGEST:
+                if len(word) > LONGEST or self.held > MEMORY_BYTES:
                     long.append(k)
                     continue
+                self.held += WORD_BYTES + len(word)
                 row = self.rows[word] = known + len(new)
                 new.append(word)
             rows[k] = row

@@ -1,6 +1,8 @@
 """Token ids, token files, packing and the language model against plain versions."""
+import bisect
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -10,22 +12,47 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from tokenizers import Tokenizer
+
 from plumbline.llm import ngram_trie, packing, rans, tokens
 from plumbline.llm.storage import Scratch
 from plumbline.llm.words import text_slices, word_hashes
 
 ODD = ["", None, " a", "a ", "a  b", "\n", "\n\na", "a\nb", "a\n b", "x\ty", "it's 'll don't", "a b", "é\né",
        "a\x1cb", "  ", "word" * 50, "A B\nC D\nE", "1 2\n3", "ÀÉ. ß, ﬁ İx", "a² b", "日本 語", "a…b – c", "x" * 100 + " y",
-       "long " * 3000, "The end.\nNew line, and. more\nx"]
+       "long " * 3000, "The end.\nNew line, and. more\nx", "a<|endoftext|>b", "a <|startoftext|> b\nc", "ΑΣ ΣΑΣ ªΑΣ. Σ"]
+#: Pieces whose ids depend on their neighbours, on case rules or on special tokens.
+PIECES = ["a", "b", "A", "É", "é", "Σ", "σ", "ς", "ΑΣ", "ª", " ", "  ", "\n", "\t", "\u2003", "\xa0", "\u3000", ".", ",", "'s", "'S",
+          "1", "²", "½", "ß", "İ", "ı", "ﬁ", "日", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "-", "…", "\u200d", "👍",
+          "\x1c", "\x85", "ǅ", "Å", "ϴ", "\u0345", "ά", "it's", "don't", "\u0301", "ᾼ", "ẞ", "가"]
+
+
+def plain_ids(name, texts):
+    """The ids as the library gives them, each text by itself."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    return [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("name, lower", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_ids_equal_the_tokenizer(name, lower):
+def test_ids_equal_the_tokenizer(name, lower, monkeypatch):
     coder = tokens.Encoder(public_tokenizers.path(name), lower)
-    for _ in range(2):
-        flat, sizes = coder.ids(pa.array(ODD))
+    r = random.Random(8)
+    texts = ODD + ["".join(r.choices(PIECES, k=r.randrange(9))) for _ in range(20_000)]
+    want = plain_ids(name, texts)
+    for limit in (tokens.MEMORY_BYTES, 50_000, 0):  # a full memory changes no id
+        monkeypatch.setattr(tokens, "MEMORY_BYTES", limit)
+        flat, sizes = coder.ids(pa.array(texts))
         parts = np.split(flat, np.cumsum(sizes)[:-1])
-        assert [p.tolist() for p in parts] == coder.whole([t or "" for t in ODD])
+        assert [p.tolist() for p in parts] == want
+    assert plain_ids(name, ["a<|endoftext|>b"]) == [[320, 49407, 321] if lower else [64, 50256, 65]]
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 10_000)
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), True)
+    for k in range(5):
+        coder.ids(pa.array([" ".join(f"word{i}" for i in range(k * 500, k * 500 + 700))]))
+        assert coder.held <= 10_000 + tokens.WORD_BYTES + tokens.LONGEST
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK + 17])
@@ -56,10 +83,10 @@ def test_token_files(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = documents(spark)
     got = rans.read_token_files(rans.write_token_files(docs, Scratch(spark), path)).collect()
-    coder = tokens.Encoder(path, False)
     want = collections.Counter()
-    for r in docs.collect():
-        ids = coder.whole([r.text or ""])[0] + [0]
+    rows = docs.collect()
+    for r, ids in zip(rows, plain_ids("byte_bpe_50k.json", [r.text for r in rows])):
+        ids = ids + [0]
         want[r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     at = 0
@@ -79,6 +106,35 @@ def test_packing_small_documents(spark):
     assert len(got) <= -(-sum(sizes) // 2048) + 4
 
 
+def plain_best_fit(sizes, capacity):
+    """Sequences that best fit in falling order of size takes."""
+    gaps, used = [], 0
+    for size in sorted(sizes, reverse=True):
+        k = bisect.bisect_left(gaps, size)
+        gap = gaps.pop(k) if k < len(gaps) else capacity
+        used += gap == capacity
+        if gap > size:
+            bisect.insort(gaps, gap - size)
+    return used
+
+
+def test_pieces_and_sequences_equal_plain_versions(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices(["word", "Other", "ΑΣ", "1", "<|endoftext|>", "x.y"], k=int(r.paretovariate(0.7)) % 300))) for i in range(400)]
+    rows += [(i, t) for i, t in enumerate(ODD, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = packing.pack_documents(docs, Scratch(spark), public_tokenizers.path("word_bpe_49k.json"), 128).collect()
+    want = set()
+    for (key, _), ids in zip(rows, plain_ids("word_bpe_49k.json", [t for _, t in rows])):
+        ids = np.array([*ids, 0], "<u4")
+        for piece, start in enumerate(range(0, len(ids), 128)):
+            own = ids[start : start + 128]
+            want.add((key, piece, start, len(own), zlib.crc32(own.tobytes())))
+    assert {(x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got} == want
+    best = plain_best_fit([n for _, _, _, n, _ in want], 128)
+    assert len({x.sequence_id for x in got}) <= best + max(2, best // 50)
+
+
 def test_packing_of_documents(spark):
     docs = documents(spark)
     got = packing.pack_documents(docs, Scratch(spark), public_tokenizers.path("word_bpe_49k.json"), 64).collect()
