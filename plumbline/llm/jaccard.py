@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .records import field, from_struct, in_struct
 from .storage import Scratch
 from .words import SLICE_BYTES, shingles, text_slices, word_hashes
 
@@ -57,11 +58,11 @@ def _class_of(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
-RAW_SCHEMA = "h bigint, class bigint, kind byte, a bigint, n bigint, part bigint"
+RAW_SCHEMA = "h bigint, class bigint, kind byte, a bigint, n bigint, part bigint, text bigint"
 
 
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> rows by h: 0 (class, a doc_id, n, part) members; 1 (class, a count) elements
+    """Documents -> rows by h: 0 (class, a doc_id, n, part, text hash) members; 1 (class, a count) elements
     shared within the batch; 2 elements of one class of the batch; 3 elements of several."""
     limit = np.uint64(int(PART * 2**64))
     for batch in text_slices(batches, 1, SLICE_BYTES):
@@ -70,7 +71,7 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = [s[: np.searchsorted(s, limit)] for s in sets]
         sizes = np.array([len(s) for s in sets], np.int64)
         parts = np.array([len(s) for s in heads], np.int64)
-        out = [(keys, keys, np.full(len(keys), 0), batch.column(0), sizes, parts)]
+        out = [(keys, keys, np.full(len(keys), 0), batch.column(0), sizes, parts, batch.column(2))]
         _, once = np.unique(keys, return_index=True)
         once = once[parts[once] > 0]
         if len(once):
@@ -84,15 +85,19 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared = np.bincount(owner[several[run]], minlength=len(keys))
             have = np.flatnonzero(shared)
             zero = lambda n: np.zeros(n, np.int64)
-            out.append((keys[have], keys[have], np.full(len(have), 1), shared[have], zero(len(have)), zero(len(have))))
+            out.append((keys[have], keys[have], np.full(len(have), 1), shared[have], *[zero(len(have))] * 3))
             single = ~several[run]
-            out.append((_signed(h[single]), keys[owner[single]], np.full(single.sum(), 2), *[zero(single.sum())] * 3))
+            out.append((_signed(h[single]), keys[owner[single]], np.full(single.sum(), 2), *[zero(single.sum())] * 4))
             multi = _signed(h[new][several])
-            out.append((multi, zero(len(multi)), np.full(len(multi), 3), *[zero(len(multi))] * 3))
-        for h, key, kind, a, n, part in out:
+            out.append((multi, zero(len(multi)), np.full(len(multi), 3), *[zero(len(multi))] * 4))
+        names = ["h", "class", "kind", "a", "n", "part", "text"]
+        for columns in out:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(key, pa.int64()), pa.array(kind, pa.int8()), a if isinstance(a, pa.Array) else pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(part, pa.int64())],
-                ["h", "class", "kind", "a", "n", "part"],
+                [
+                    c if isinstance(c, pa.Array) else pa.array(c, pa.int8() if name == "kind" else pa.int64())
+                    for name, c in zip(names, columns)
+                ],
+                names,
             )
 
 
@@ -135,14 +140,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, counts = np.unique(np.append(key[counted], np.array(late, np.int64)), return_counts=True)
         zero = np.zeros(len(classes), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(classes, pa.int64()), pa.array(np.full(len(classes), 1), pa.int8()), pa.array(counts, pa.int64()), pa.array(zero), pa.array(zero)],
-            ["class", "kind", "a", "n", "part"],
+            [pa.array(classes, pa.int64()), pa.array(np.full(len(classes), 1), pa.int8()), pa.array(counts, pa.int64()), *[pa.array(zero)] * 3],
+            ["class", "kind", "a", "n", "part", "text"],
         )
 
 
 def classes_and_members(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The table (class, kind, a, n, part): members (kind 0) and shared counts (kind 1)."""
-    raw = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_raw, RAW_SCHEMA)
+    """The table (class, kind, a, n, part, text): members (kind 0) and shared counts (kind 1)."""
+    raw = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text")).mapInArrow(_raw, RAW_SCHEMA)
     by_h = raw.repartition("h").sortWithinPartitions("h", "kind", "class")
     return scratch.save(by_h.mapInArrow(_shared, RAW_SCHEMA.removeprefix("h bigint, ")))
 
@@ -347,16 +352,22 @@ def _link_large(rows: DataFrame, scratch: Scratch, cluster_elements: int) -> Dat
     return star.unionByName(found)
 
 
+def class_roots(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(class, root) of all classes with shingles; `linked` names the root of those that are linked."""
+    classes = members.where("n > 0").select("class").distinct()
+    return classes.join(linked.withColumnRenamed("node", "class"), "class", "left").select(
+        "class", F.coalesce("root", "class").alias("root")
+    )
+
+
 def link_documents(docs: DataFrame, scratch: Scratch, cluster_elements: int = CLUSTER) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of (doc_id, text)."""
     table = classes_and_members(docs, scratch)
-    linked = link_classes(docs, table, scratch, cluster_elements)
     members = table.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "class")
-    roots = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(
-        linked.withColumnRenamed("node", "class"), "class", "left"
-    ).withColumn("root", F.coalesce("root", "class"))
-    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = roots.join(names, "root").select("class", "component_id")
+    roots = class_roots(members, link_classes(docs, table, scratch, cluster_elements))
+    least = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, "class")
+    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = least.join(names, "root").select("class", "component_id")
     return members.join(by_class.withColumn("n0", F.lit(True)), "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -372,11 +383,31 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of each component the document with its smallest doc_id; columns of `docs`. Documents without
-    shingles or without doc_id stay. Rows that repeat a kept doc_id stay as its first text only."""
-    linked = link_documents(docs, Scratch(docs.sparkSession))
-    keep = linked.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    numbered = docs.where("doc_id is not null").withColumn("_first", F.row_number().over(first))
-    kept = numbered.join(keep, "doc_id", "left_semi").where("_first = 1").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each group of linked texts one row, that of its smallest doc_id (then class, text hash, hash
+    of the row); columns of `docs`. Rows without shingles or without doc_id stay. A doc_id that
+    repeats with texts that are not linked keeps one row for each of them that no other row covers."""
+    scratch = Scratch(docs.sparkSession)
+    table = classes_and_members(docs, scratch)
+    members = table.where("kind = 0 and a is not null").select(F.col("a").alias("doc_id"), "n", "class", "text")
+    roots = class_roots(members, link_classes(docs, table, scratch))
+    first = (
+        members.where("n > 0")
+        .groupBy("class")
+        .agg(F.min(F.struct("doc_id", "class", "text")).alias("first"))
+        .join(roots, "class")
+        .groupBy("root")
+        .agg(F.min("first").alias("first"))
+        .select("first.doc_id", F.col("first.text").alias("text_hash"))
+    )
+    always = members.where("n = 0").select("doc_id", F.col("text").alias("text_hash")).distinct()
+    wanted = first.withColumn("one", F.lit(True)).unionByName(always.withColumn("one", F.lit(False)))
+    rows = in_struct(docs).select(
+        "row", field("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(field("text")).alias("text_hash")
+    )
+    same = Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64("row"))
+    kept = (
+        rows.join(wanted, ["doc_id", "text_hash"])
+        .withColumn("number", F.row_number().over(same))
+        .where("number = 1 or not one")
+    )
+    return from_struct(kept.select("row").unionByName(rows.where("doc_id is null").select("row")), docs)

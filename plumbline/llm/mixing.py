@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .prefix import prefix_sums
+from .records import field, from_struct, in_struct
 from .storage import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -184,46 +185,46 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows, pieces, slots = mix(narrow(docs), scratch)
     copy = Window.partitionBy("doc_id", "key", "_text").orderBy("position")
     numbered = rows.where("size > 0").select(
-        "key", "position", "size", "doc_id", "_text", F.row_number().over(copy).alias("_copy")
+        "key", "position", "size", "doc_id", "_text", F.row_number().over(copy).alias("copy")
     )
     spans = (
         pieces.join(slots.select("key", "block", "pass"), ["key", "block"])
         .groupBy("key", "position", "pass")
         .agg(
-            F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("_spans"),
-            F.sum(F.col("end_word") - F.col("first_word")).alias("_words"),
+            F.array_sort(F.collect_list(F.struct("first_word", "end_word"))).alias("spans"),
+            F.sum(F.col("end_word") - F.col("first_word")).alias("words"),
         )
         .join(numbered, ["key", "position"])
         .select(
-            F.col("doc_id").alias("_id"),
-            F.col("key").alias("_key"),
-            "_text",
-            "_copy",
-            "_spans",
-            (F.col("_words") == F.col("size")).alias("_whole"),
+            "doc_id", "key", F.col("_text").alias("text_hash"), "copy", "spans", (F.col("words") == F.col("size")).alias("whole")
         )
     )
-    again = Window.partitionBy("_id", "_key", "_text").orderBy(F.lit(0))
-    texts = docs.withColumns(
-        {"_id": F.col("doc_id"), "_key": source_key(F.col("source")), "_text": F.xxhash64("text")}
-    ).withColumn("_copy", F.row_number().over(again))
-    same = [texts[c].eqNullSafe(spans[c]) for c in ("_id", "_key", "_text", "_copy")]
-    words = F.split(F.regexp_replace("text", r"^[ \t-\r]+", ""), WORD_STARTS)
+    # Rows of one text are told apart by what else they hold; rows equal in all are interchangeable.
+    again = Window.partitionBy("id", "source_key", "hash").orderBy(F.xxhash64("row"))
+    texts = in_struct(docs).select(
+        "row",
+        field("doc_id").alias("id"),
+        source_key(field("source")).alias("source_key"),
+        F.xxhash64(field("text")).alias("hash"),
+    ).withColumn("number", F.row_number().over(again))
+    same = (
+        F.col("id").eqNullSafe(F.col("doc_id"))
+        & (F.col("source_key") == F.col("key"))
+        & (F.col("hash") == F.col("text_hash"))
+        & (F.col("number") == F.col("copy"))
+    )
+    words = F.split(F.regexp_replace(field("text"), r"^[ \t-\r]+", ""), WORD_STARTS)
     cut = F.array_join(
         F.flatten(
             F.transform(
-                "_spans",
+                "spans",
                 lambda s: F.slice(
-                    "_all", (s["first_word"] + 1).cast("int"), (s["end_word"] - s["first_word"]).cast("int")
+                    "all_words", (s["first_word"] + 1).cast("int"), (s["end_word"] - s["first_word"]).cast("int")
                 ),
             )
         ),
         "",
     )
-    joined = texts.join(spans, same).select(*[texts[c] for c in docs.columns], "_spans", "_whole")
-    out = joined.withColumn("_all", F.when(~F.col("_whole"), words)).withColumn(
-        "text", F.when(F.col("_whole"), F.col("text")).otherwise(cut)
-    )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    joined = texts.join(spans, same).select("row", "spans", "whole", F.when(~F.col("whole"), words).alias("all_words"))
+    taken = joined.select("row", F.when(F.col("whole"), field("text")).otherwise(cut).alias("text"))
+    return from_struct(taken, docs, F.col("text"))

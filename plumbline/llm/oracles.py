@@ -65,12 +65,12 @@ b AS (SELECT w.r, doc_id, source, t, ls, CAST(len(w) AS BIGINT) AS n_words,
   CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(again, 0) AS n_repeat_words
   FROM w LEFT JOIN q USING (r)),
-x AS (SELECT source, t, min(doc_id) AS doc_id, any_value(ls) AS ls FROM b GROUP BY source, t),
-y AS (SELECT source, t, doc_id, unnest(ls) AS l FROM x),
-z AS (SELECT source, t, doc_id, {LOWER.format(f"array_to_string({_LINE_WORDS}, ' ')")} AS l,
+x AS (SELECT source, t, min(doc_id) AS doc_id, any_value(ls) AS ls, count(*) AS copies FROM b GROUP BY source, t),
+y AS (SELECT source, t, doc_id, copies, unnest(ls) AS l FROM x),
+z AS (SELECT source, t, doc_id, copies, {LOWER.format(f"array_to_string({_LINE_WORDS}, ' ')")} AS l,
   sum(len({_LINE_WORDS})) AS n FROM y GROUP BY ALL),
 f AS (SELECT source, l, arg_min(t, coalesce(doc_id, 9223372036854775807)) AS first FROM z GROUP BY source, l
-  HAVING count(*) > {MAX_DOCUMENTS}),
+  HAVING sum(copies) > {MAX_DOCUMENTS}),
 lost AS (SELECT z.source, z.t, sum(n) AS lost FROM z JOIN f ON z.source IS NOT DISTINCT FROM f.source AND z.l = f.l
   WHERE z.t <> f.first GROUP BY z.source, z.t),
 j AS (SELECT b.*, CAST(coalesce(lost, 0) AS BIGINT) AS removed_words,

@@ -1,13 +1,15 @@
 """Quality rules: frequent lines of a host, found across documents, and the documents they deplete.
 
 Lines are normalised (A-Z lower-cased, words joined by one blank) and hashed. A line's frequency is
-the number of distinct documents of a host that hold it; copies of one text count once. A line in
-more than `MAX_DOCUMENTS` documents of a host is removed from all of them but the first (the smallest
-doc_id, with its copies), so that what is repeated stays once. A document that loses more than half of its
-words is depleted and rejected.
+the number of documents (rows) of a host that hold it, each counted once however often it repeats the
+line. A line in more than `MAX_DOCUMENTS` documents of a host is removed from all of them but the first
+(the smallest doc_id, with its copies), so that what is repeated stays once. A document that loses
+more than half of its words is depleted and rejected. Texts that are equal are measured once; their
+number of documents is carried along.
 
 Nulls: a null text has no words and fails the base rules; a null host is a host of its own; a null
-doc_id comes last. Repeated rows get the same verdict. Extra columns pass through.
+doc_id comes last. Repeated rows are documents of their own and get the same verdict. Extra columns
+pass through, whatever their names.
 """
 from __future__ import annotations
 
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import field, from_struct, in_struct, struct_schema
 from .storage import Scratch
 
 MAX_DOCUMENTS = 10
@@ -103,20 +106,22 @@ def verdicts(
     key = ["host", "text_hash"]
     texts = rows.groupBy(*key).agg(
         F.min("doc_id").alias("doc_id"),
+        F.count(F.lit(1)).alias("copies"),
         F.first("line_hashes").alias("line_hashes"),
         F.first("line_words").alias("line_words"),
     )
     lines = texts.select(
         *key,
         F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"),
+        "copies",
         F.explode(F.arrays_zip("line_hashes", "line_words")).alias("line"),
     ).select(
-        *key, F.xxhash64("host", "line.line_hashes").alias("host_line"), "doc_id", "line.line_hashes", "line.line_words"
+        *key, F.xxhash64("host", "line.line_hashes").alias("host_line"), "doc_id", "copies", "line.line_hashes", "line.line_words"
     )
     frequent = (
         lines.groupBy("host_line")
         .agg(
-            F.count(F.lit(1)).alias("documents"),
+            F.sum("copies").alias("documents"),
             F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("first_text"),
         )
         .where(F.col("documents") > most)
@@ -152,28 +157,18 @@ def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = batch.to_pydict()
             texts = []
-            for text, removed in zip(table["text"], table.pop("_removed")):
+            for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if removed:
                     gone = set(removed)
                     text = "\n".join([x for x in text.split("\n") if line_hash(x) not in gone])
                 texts.append(text)
-            table["text"] = texts
-            names = [n for n in batch.schema.names if n != "_removed"]
-            schema = pa.schema([batch.schema.field(n) for n in names])
-            yield pa.RecordBatch.from_pydict(table, schema=schema)
-
-    keyed = docs.withColumns(
-        {
-            "_host": F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n")),
-            "_text": F.xxhash64("text"),
-        }
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    keyed = in_struct(docs).select(
+        "row",
+        F.coalesce(F.concat(F.lit("h"), field(host).cast("string")), F.lit("n")).alias("host"),
+        F.xxhash64(field("text")).alias("text_hash"),
     )
-    good = good.toDF("_kept_host", "_kept_text", "_removed")
-    same = (F.col("_host") == F.col("_kept_host")) & (F.col("_text") == F.col("_kept_text"))
-    joined = keyed.join(good, same).select(*docs.columns, "_removed")
-    out = joined.mapInArrow(strip, docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    joined = keyed.join(good, ["host", "text_hash"]).select("row", field("text").alias("text"), "removed")
+    return from_struct(joined.mapInArrow(strip, struct_schema(docs, "text string")), docs, F.col("text"))

@@ -28,6 +28,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import field, from_struct, in_struct, struct_schema
 from .storage import Scratch
 
 SAMPLE_FINDINGS = 20_000  # of each label
@@ -259,19 +260,29 @@ def masked_documents(docs: DataFrame, path: str = "source", mask: str = "<secret
     """The documents with every secret replaced by `mask`; columns of `docs`, all rows kept."""
     judged = scan(docs, Scratch(docs.sparkSession), path).where("is_secret")
     spans = judged.groupBy("doc_id", "row_hash").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")
     )
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    same = keyed["doc_id"].cast("bigint").eqNullSafe(spans["doc_id"]) & (keyed["_hash"] == spans["row_hash"])
-    joined = keyed.join(spans, same, "left").select(*[keyed[c] for c in docs.columns], "_spans")
-    whole = F.length("text") + 1
-    # Between masks stand the stretches from a span's end to the next one's start.
-    starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(whole - 1))
-    parts = F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
-    out = joined.withColumn(
-        "text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(parts, mask))
+    keyed = in_struct(docs).select(
+        "row", field("doc_id").cast("bigint").alias("id"), F.xxhash64(field("text")).alias("hash")
     )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("row_hash"))
+    joined = keyed.join(spans, same, "left").select("row", field("text").alias("text"), "spans")
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                masked(text, [(s["start"], s["end"]) for s in found], mask) if found else text
+                for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    return from_struct(joined.mapInArrow(cover, struct_schema(docs, "text string")), docs, F.col("text"))
+
+
+def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
+    """The text with each of the sorted, disjoint spans replaced by `mask`."""
+    out, at = [], 0
+    for a, b in spans:
+        out += text[at:a], mask
+        at = b
+    return "".join([*out, text[at:]])

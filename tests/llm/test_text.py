@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import fingerprint, jaccard, language, quality, secrets
+from plumbline.llm import fingerprint, jaccard, language, mixing, quality, secrets
 from plumbline.llm.storage import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +74,41 @@ def test_one_of_each_group(spark):
     assert 0 in ids and 1 in ids and 200 not in ids and 403 in ids and 404 not in ids and 400 in ids and None in ids
 
 
+def test_one_row_of_each_class(spark):
+    base = [f"w{i}" for i in range(40)]
+    near, other = " ".join([*base, "more"]), " ".join(f"o{i}" for i in range(40))
+    rows = [(3, " ".join(base), 1), (5, near, 2), (5, other, 3), (5, other, 4), (6, " ".join(base), 5), (5, None, 6), (5, None, 6), (None, other, 7)]
+    rows += [(3, "quite another text of more than five words", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _first int")
+    kept = jaccard.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["_first"] for r in kept.collect()))
+    assert got in ([1, 3, 6, 6, 7, 8], [1, 4, 6, 6, 7, 8])
+
+
+def test_lines_are_counted_by_document(spark):
+    rows = [(i, f"a shared line of the site\nown words {i % 5} " + " ".join(f"t{i % 5}x{k}" for k in range(60)), "s") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    judged, frequent = quality.verdicts(docs, "source", Scratch(spark))
+    counts = sorted(r.documents for r in frequent.collect())
+    assert counts == [100] * 5 + [500]
+    # Each text is the first to hold its own line, so only the shared one goes, and not from the first text.
+    assert {(r.doc_id % 5 > 0, r.removed_words) for r in judged.collect()} == {(False, 0), (True, 6)}
+
+
+def test_clashing_names_pass_through(spark):
+    names = ["_text", "_removed", "_host", "_spans", "_hash", "_whole", "_id", "_key", "_copy", "_all", "_first", "row", "host", "text_hash",
+             "removed", "spans", "number", "hash", "key", "size", "start", "class", "one", "n"]
+    docs = corpus(spark).drop("class")
+    extra = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    for stage in (quality.clean_documents, secrets.masked_documents, mixing.mixed_documents, jaccard.one_of_each_group):
+        plain, out = stage(docs), stage(extra)
+        assert out.columns == extra.columns
+        bad = " or ".join(f"`{n}` <> concat('{n}', coalesce(cast(doc_id as string), '-'))" for n in names)
+        assert out.where(bad).count() == 0
+        assert sorted(map(repr, out.select(*docs.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_quality_measures(spark):
     def plain(text):
         w, lines, seen, dup = WORD.findall(text or ""), (text or "").split("\n"), set(), 0
@@ -97,13 +132,14 @@ def test_quality_verdicts(spark):
     rows = docs.collect()
     judged, _ = quality.verdicts(docs, "source", Scratch(spark), 4)
     texts = collections.defaultdict(lambda: collections.defaultdict(list))
+    assert judged.count() == len(rows)
     norm = lambda x: " ".join(WORD.findall(x)).translate(LOWER)
     for r in rows:
         for line in {norm(x) for x in (r.text or "").split("\n")} - {""}:
             texts[r.source, line][r.text].append(1 << 62 if r.doc_id is None else r.doc_id)
     gone = collections.Counter()
     for (source, line), holders in texts.items():
-        if len(holders) > 4:
+        if sum(map(len, holders.values())) > 4:
             first = min(holders, key=lambda t: min(holders[t]))
             for t in holders:
                 if t != first:
