@@ -4,6 +4,7 @@ from __future__ import annotations
 from .mixing import BLOCK_WORDS, MOST, SEED, WEIGHTS
 from .quality import LEAST_WORDS, MAX_DOCUMENTS
 from .sharding import SHARDS
+from .turn_trie import DIGEST, GROUP, HEADS
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,9 +106,33 @@ tn AS (SELECT r, sum((least(start + size, (block + 1) * {BLOCK_WORDS}) - greates
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
 FROM st JOIN qt USING (key) LEFT JOIN tn USING (r)"""
 
+_CODE = "md5(length(role) || ':' || role || text)"
+CONVERSATIONS = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, {_CODE} AS code, CAST(len(regexp_extract_all(text, '{WORDS}')) AS BIGINT) AS words,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, {_CODE}) - 1 AS pos FROM t),
+i AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % {GROUP} AS base, {_crc32("name")} % {HEADS} AS h FROM i),
+r AS (SELECT c.conv_id, pos, code, words FROM c JOIN o ON o.conv_id = base WHERE pos < h
+  UNION ALL SELECT c.conv_id, pos + {HEADS}, code, words FROM c JOIN o USING (conv_id) WHERE pos >= h),
+s AS (SELECT c.conv_id, coalesce(string_agg(code, '' ORDER BY pos), '') AS codes,
+  list(words ORDER BY pos) FILTER (pos IS NOT NULL) AS words FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+u AS (SELECT *, length(codes) // {DIGEST} AS n, unnest(range(length(codes) // 32 + 1)) AS depth FROM s),
+k AS (SELECT left(codes, CAST(32 * depth AS INT)) AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  any_value(CASE WHEN depth > 0 THEN list_extract(words, CAST(depth AS INT)) ELSE 0 END) AS w,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM u GROUP BY ALL),
+b AS (SELECT left(p, CAST(32 * (depth - 1) AS INT)) AS p, count(*) AS n FROM k WHERE depth > 0 GROUP BY 1),
+x AS (SELECT k.*, coalesce(b.n, 0) AS n_children FROM k LEFT JOIN b USING (p)),
+y AS (SELECT a.p, CAST(sum(CAST(z.n_children = 0 AS INT)) AS BIGINT) AS n_leaves,
+  CAST(sum((z.n_convs - 1) * z.w) AS BIGINT) AS saved_tokens FROM x a JOIN x z ON starts_with(z.p, a.p) GROUP BY a.p)
+SELECT x.conv_id, x.depth, q.conv_id AS parent_conv_id, x.n_convs, x.n_children, y.n_leaves, y.saved_tokens, x.ends_sha256
+FROM x JOIN y USING (p) LEFT JOIN x q ON x.depth > 0 AND q.p = left(x.p, CAST(32 * (x.depth - 1) AS INT))"""
+
 ORACLES = {
     "op1_sharding": SHARDING,
     "op6_jaccard_join": JACCARD,
     "op7_quality_rules": QUALITY,
     "op10_mixing": MIXING,
+    "op13_conversation_trie": CONVERSATIONS,
 }

@@ -8,10 +8,13 @@ from .mixing import op10_mixing
 from .ngram_trie import op2_language_model
 from .oracles import ORACLES
 from .packing import op5_packing
+from .personal import op12_personal_data
 from .quality import op7_quality_rules
 from .rans import op3_token_files
 from .secrets import op4_secret_scan
 from .sharding import op1_sharding
+from .turn_trie import op13_conversation_trie
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -24,6 +27,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op12_personal_data": op12_personal_data,
+    "op13_conversation_trie": op13_conversation_trie,
 }
-
-
