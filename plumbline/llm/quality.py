@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .records import field, from_struct, in_struct, struct_schema
 from .storage import Scratch
+from .words import SLICE_BYTES, text_slices
 
 MAX_DOCUMENTS = 10
 LEAST_WORDS = 50
@@ -82,7 +83,7 @@ def measure(text: str | None):
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
-    for batch in batches:
+    for batch in text_slices(batches, 3, SLICE_BYTES):
         found = list(zip(*map(measure, batch.column(3).to_pylist()))) or [()] * 7
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, k) for c, k in zip(found, kinds)]],
@@ -156,7 +157,7 @@ def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     good = judged.where("kept").select("host", "text_hash", "removed").dropDuplicates(["host", "text_hash"])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1, SLICE_BYTES):
             texts = []
             for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if removed:

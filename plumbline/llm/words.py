@@ -34,7 +34,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text that a task turns into arrays at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
