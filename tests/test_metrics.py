@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import equal_width_bin, harmonic
 from plumbline.operators import comparison as cmp
 from plumbline.operators import metrics as met
-from plumbline.operators.bootstrap import bootstrap_ci, resampled_cells
+from plumbline.operators.bootstrap import bootstrap_ci, replicate_metrics, resampled_cells
 
 Y = [0, 1, 0, 1, 0, 0, 1, 1, 0, 1]
 P = [0.1, 0.8, 0.2, 0.7, 0.3, 0.4, 0.6, 0.9, 0.05, 0.55]
@@ -130,11 +130,47 @@ def test_bootstrap(spark):
     assert first == again
     assert all(r.lo <= r.point <= r.hi for r in first)
     assert first[0].point == pytest.approx(summary(spark, y, p).aurc)
-    sizes = resampled_cells(table, 5, 7).groupBy("replicate").agg(
+    cells = met.score_cells(table)
+    sizes = resampled_cells(cells, 5, 7).groupBy("replicate").agg(
         F.sum("n0").alias("a"), F.sum("n1").alias("b")).collect()
     assert {(r.a, r.b) for r in sizes} == {(200 - y.sum(), y.sum())}
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_replicate_metrics_equal_those_of_their_counts(spark, ties):
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(300), 1 if ties else 6)
+    cells = met.score_cells(scores(spark, (rng.random(300) < p).astype(int), p))
+    drawn = resampled_cells(cells, 12, 5)
+    want = {r.replicate: r for r in met.merge_metrics(
+        [met.aurc_from_cells(drawn, ["replicate"]), met.ranking_from_cells(drawn, ["replicate"])], ["replicate"]).collect()}
+    got = replicate_metrics(cells, 12, 5).collect()
+    assert len(got) == 12
+    for r in got:
+        for m in ("aurc", "auacc", "auroc", "auprc"):
+            assert r[m] == pytest.approx(want[r.replicate][m], rel=1e-9)
+
+
+def test_intervals_agree_with_drawn_rows(spark):
+    rng = np.random.default_rng(8)
+    p = np.round(rng.random(400), 3)
+    y = (rng.random(400) < 0.2 + 0.6 * p).astype(int)
+
+    def auroc(yy, pp):
+        a, b = pp[yy == 1], pp[yy == 0]
+        return np.mean((a[:, None] > b) + 0.5 * (a[:, None] == b))
+
+    sides = [np.flatnonzero(y == k) for k in (0, 1)]
+    plain = []
+    for _ in range(600):
+        s = np.concatenate([rng.choice(i, len(i)) for i in sides])
+        plain.append(auroc(y[s], p[s]))
+    got = bootstrap_ci(scores(spark, y, p), ("auroc",), 1000, 0.1, 3).first()
+    spread = np.std(plain)
+    assert got.point == pytest.approx(auroc(y, p))
+    assert abs(got.lo - np.quantile(plain, 0.05)) < 0.3 * spread and abs(got.hi - np.quantile(plain, 0.95)) < 0.3 * spread
+
+
 def test_bootstrap_of_one_class_and_own_metric(spark):
     one = bootstrap_ci(scores(spark, [0] * 6, P[:6]), ("aurc",), 5).first()
     assert (one.lo, one.hi, one.point) == (None, None, 0.0)
