@@ -193,8 +193,6 @@ def test_language_model_equals_counts(spark):
     context = collections.Counter(p[0] for c in learned for p in zip(c, c[1:]))
     after = collections.Counter(p[0] for p in two)
     n, v = sum(one.values()), len(one)
-    n1, n2 = (sum(x == k for x in two.values()) for k in (1, 2))
-    d = n1 / (n1 + 2 * n2)
     u1, u2 = (sum(c == k for w, c in one.items() if w != 0) for k in (1, 2))
     d1 = u1 / (u1 + 2 * u2) if u1 and u2 else 0.75
     for key, chain in chains.items():
@@ -203,7 +201,7 @@ def test_language_model_equals_counts(spark):
         for a, b in zip(chain, chain[1:]):
             p = (one[b] - d1 if one[b] else d1 * v) / n
             if context[a]:
-                p = max(two[a, b] - d, 0) / context[a] + d * after[a] / context[a] * p
+                p = (two[a, b] + after[a] * p) / (context[a] + after[a])
             score += math.log10(p)
         assert got[key].base_score == pytest.approx(base)
         assert got[key].score == pytest.approx(score, abs=0.02 * len(chain))
