@@ -5,9 +5,15 @@ difference of two prefixes; spans at different places compare after a shift by p
 common extensions are found by binary search. A fingerprint is the length and the two hashes of the
 whole text; the likeness of two texts is the share of the longer one that common spans in the same
 order cover (1 for two empty texts): the longest common prefix and suffix, and between them the
-longest common extensions around equal windows of `ANCHOR` characters. Windows of the one text start
-at multiples of ANCHOR; each is paired with its first place in the other and with its places on the
-`SHIFTS` displacements that most windows have, and the longest ordered chain of such pairs is kept.
+longest common extensions around equal windows of `ANCHOR` characters, those of the one text at
+multiples of `STRIDE`. A window is paired with its first place in the other text, with its places on the
+displacements that most windows have, with those next to where it would be without edits, and, between windows that occur once in both, with the places
+on the displacements of the nearest such windows on both sides; so a span goes on behind each
+mismatch. The longest ordered chain of all pairs is kept.
+
+The likeness is that of the texts, whose prefix arrays it needs; the short fingerprint tells equal
+texts only. Nulls: a null text is empty, a null doc_id comes last; repeated rows are rows of their own;
+an empty table gives no rows; extra columns are not read.
 """
 from __future__ import annotations
 
@@ -24,7 +30,8 @@ from .storage import Scratch
 
 PRIMES = (2147483647, 2147483629)
 BASE = 1_000_003
-ANCHOR = 16
+ANCHOR = 8
+STRIDE = 4
 SHIFTS = 16
 OUT = [
     ("doc_id", pa.int64(), "bigint"),
@@ -87,30 +94,32 @@ def same_span(a: Hashed, i: int, b: Hashed, j: int, n: int) -> bool:
     return True
 
 
-def extension(a: Hashed, i: int, b: Hashed, j: int) -> int:
-    """Longest common extension to the right of a[i:] and b[j:]."""
-    low, high = 0, min(a.n - i, b.n - j)
+def _reach(same, most: int) -> int:
+    """The greatest n up to `most` with same(n): doubled until it fails, then by binary search. Holds
+    for n, it holds for all below; same(known, n) compares what lies between only."""
+    low, step = 0, ANCHOR
+    while low < most and same(low, min(most, low + step)):
+        low, step = min(most, low + step), 2 * step
+    high = min(most, low + step) - 1
     while low < high:
         mid = (low + high + 1) // 2
-        if same_span(a, i + low, b, j + low, mid - low):
+        if same(low, mid):
             low = mid
         else:
             high = mid - 1
     return low
 
 
+def extension(a: Hashed, i: int, b: Hashed, j: int) -> int:
+    """Longest common extension to the right of a[i:] and b[j:]."""
+    return _reach(lambda low, n: same_span(a, i + low, b, j + low, n - low), min(a.n - i, b.n - j))
+
+
 def back_extension(a: Hashed, b: Hashed, most: int, i: int | None = None, j: int | None = None) -> int:
     """Longest common extension to the left of a[:i] and b[:j] (the ends, if not given), of at most
     `most` characters."""
     i, j = a.n if i is None else i, b.n if j is None else j
-    low, high = 0, most
-    while low < high:
-        mid = (low + high + 1) // 2
-        if same_span(a, i - mid, b, j - mid, mid - low):
-            low = mid
-        else:
-            high = mid - 1
-    return low
+    return _reach(lambda low, n: same_span(a, i - n, b, j - n, n - low), most)
 
 
 def window_hashes(a: Hashed, starts: np.ndarray, top: int) -> np.ndarray:
@@ -123,46 +132,77 @@ def window_hashes(a: Hashed, starts: np.ndarray, top: int) -> np.ndarray:
     return out
 
 
+def _chain(place: np.ndarray, goal: np.ndarray) -> list[int]:
+    """The longest chain of pairs that ascends in both, as numbers of pairs. Pairs of one place come in
+    falling order of their goals, so a chain holds one of them."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(goal)
+    for k, g in enumerate(goal.tolist()):
+        size = bisect.bisect_left(ends, g)
+        before[k] = last[size - 1] if size else -1
+        ends[size : size + 1] = [g]
+        last[size : size + 1] = [k]
+    chain, k = [], last[-1] if last else -1
+    while k >= 0:
+        chain.append(k)
+        k = before[k]
+    return chain[::-1]
+
+
 def anchors(a: Hashed, b: Hashed, head: int, tail: int) -> list[tuple[int, int]]:
     """The longest chain, ascending in both texts, of equal windows between head and tail."""
     top = max(a.n, b.n)
-    here = np.arange(head, a.n - tail - ANCHOR + 1, ANCHOR)
+    here = np.arange(head, a.n - tail - ANCHOR + 1, STRIDE)
     there = np.arange(head, b.n - tail - ANCHOR + 1)
     if not len(here) or not len(there):
         return []
     asked, held = window_hashes(a, here, top), window_hashes(b, there, top)
-    distinct, which = np.unique(asked, return_inverse=True)
+    distinct, which, times = np.unique(asked, return_inverse=True, return_counts=True)
     at = np.minimum(np.searchsorted(distinct, held), len(distinct) - 1)
     hits = np.flatnonzero(distinct[at] == held)
     if not len(hits):
         return []
     first = np.full(len(distinct), -1)
     first[at[hits[::-1]]] = there[hits[::-1]]
+    once = (np.bincount(at[hits], minlength=len(distinct)) == 1) & (times == 1)
     equal = first[which] >= 0
     place, goal = [here[equal]], [first[which][equal]]
-    shifts, votes = np.unique(goal[0] - place[0], return_counts=True)
-    for shift in np.union1d(shifts[np.argsort(-votes, kind="stable")[:SHIFTS]], [0, b.n - a.n]):
+
+    def on(shift: np.ndarray) -> None:
+        """Add the windows that are equal at their own displacement."""
         to = here + shift - head
         inside = np.flatnonzero((to >= 0) & (to < len(there)))
-        hit = here[inside[held[to[inside]] == asked[inside]]]
-        place.append(hit)
-        goal.append(hit + shift)
+        hit = inside[held[to[inside]] == asked[inside]]
+        place.append(here[hit])
+        goal.append((here + shift)[hit])
+
+    shifts, votes = np.unique(goal[0] - place[0], return_counts=True)
+    for shift in np.union1d(shifts[np.argsort(-votes, kind="stable")[:SHIFTS]], [0, b.n - a.n]):
+        on(np.full(len(here), shift))
+    # Of a repeated window the places next to where it would be without edits before, or behind, it.
+    ids = at[hits]
+    order = np.argsort(ids, kind="stable")
+    places = ids[order] * (b.n + 1) + there[hits][order]
+    for shift in (0, b.n - a.n):
+        expected = np.clip(here[equal] + shift, 0, b.n)
+        k = np.searchsorted(places, which[equal] * (b.n + 1) + expected)
+        for near in (k, k - 1):
+            found, to = np.divmod(places[np.clip(near, 0, len(places) - 1)], b.n + 1)
+            own = found == which[equal]
+            place.append(here[equal][own])
+            goal.append(to[own])
+    single = np.flatnonzero(once[which])
+    single = single[_chain(here[single], first[which[single]])]
+    if len(single):
+        known = first[which[single]] - here[single]
+        k = np.searchsorted(single, np.arange(len(here)), "right")
+        on(known[np.maximum(k - 1, 0)])
+        on(known[np.minimum(k, len(single) - 1)])
     place, goal = np.concatenate(place), np.concatenate(goal)
-    order = np.lexsort((-goal, place))  # goals of one place descend, so a chain holds one of them
-    place, goal = place[order].tolist(), goal[order].tolist()
-    ends: list[int] = []
-    last: list[int] = []
-    before = [-1] * len(goal)
-    for k, g in enumerate(goal):
-        size = bisect.bisect_left(ends, g)
-        before[k] = last[size - 1] if size else -1
-        ends[size : size + 1] = [g]
-        last[size : size + 1] = [k]
-    chain, k = [], last[-1]
-    while k >= 0:
-        chain.append((place[k], goal[k]))
-        k = before[k]
-    return chain[::-1]
+    order = np.lexsort((-goal, place))
+    place, goal = place[order], goal[order]
+    return [(int(place[k]), int(goal[k])) for k in _chain(place, goal)]
 
 
 def middle(a: Hashed, b: Hashed, head: int, tail: int) -> int:
@@ -196,7 +236,7 @@ def compare(doc_id, text: str, follower: str, own: Hashed, nxt: Hashed) -> tuple
     return doc_id, n, digest, own.fingerprint(), made.fingerprint(), likeness(own, made), likeness(own, nxt)
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order -> a result for each row whose follower is in the partition; the first and the
     last row's texts go out as they are, for the neighbour partitions."""
     from pyspark import TaskContext
@@ -246,7 +286,7 @@ def neighbour_fingerprints(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
     )
-    table = scratch.save(placed.mapInArrow(_chain, f"{columns}, part int, edge string, text string"))
+    table = scratch.save(placed.mapInArrow(_follow, f"{columns}, part int, edge string, text string"))
     names = [n for n, _, _ in OUT]
     firsts = table.where("edge = 'first'").select("part", F.col("text").alias("follower"))
     # The follower of a partition's last row is the first row of the next one that has rows.
