@@ -1,4 +1,5 @@
 """Legal but unusual input: missing labels and targets, white space, more than 26 letters."""
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,10 +88,38 @@ def test_unscored_rows_do_not_count(spark):
     assert ece(df).first().ece == pytest.approx((0.2 + 0.1) / 2)
 
 
-def test_json_questions_need_a_key(spark, tmp_path):
-    row = '{"question": "q", "mc1_targets": {"choices": ["x", "y"], "labels": [1, 0]}}\n'
-    (tmp_path / "q.json").write_text(row)
-    with pytest.raises(Exception, match="need a qid"):
-        readers.read_truthful(spark, str(tmp_path), "json").collect()
-    (tmp_path / "q.json").write_text(row.replace("{", '{"qid": "7", ', 1))
-    assert readers.read_truthful(spark, str(tmp_path), "json").first().qid == "7"
+def _exports(folder, kind):
+    """Three files of records with blank lines, and their questions in path order."""
+    want = []
+    folder.mkdir()
+    for f in range(3):
+        out = ["question,mc1_targets"] if kind == "csv" else []
+        for i in range(40 + 30 * f):
+            text = f"Question {f} {i}, with é and a comma?"
+            target = json.dumps({"choices": [f"a{i}", "b"], "labels": [1, 0]})
+            if kind == "csv":
+                quoted = target.replace('"', '""')
+                out.append(f'"{text}","{quoted}"')
+            else:
+                out.append(json.dumps({"question": text, "mc1_targets": json.loads(target)}))
+            want.append(text)
+            if i % 17 == 3:
+                out.append("  " if i % 2 else "")
+        (folder / f"part-{f}.{kind}").write_text("\n".join(out) + "\n")
+    return want
+
+
+@pytest.mark.parametrize("kind", ["json", "csv"])
+def test_ordinals_of_text_exports(spark, tmp_path, kind):
+    want = _exports(tmp_path / "q", kind)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2k", "301b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r.qid: r.question for r in readers.read_truthful(spark, str(tmp_path / "q"), kind).select("qid", "question").collect()}
+            assert got == {str(i): q for i, q in enumerate(want)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    (tmp_path / "own.json").write_text('{"qid": "x7", "question": "a", "mc1_targets": {"choices": ["a", "b"], "labels": [1, 0]}}\n{"question": "b", "mc1_targets": {"choices": ["a", "b"], "labels": [1, 0]}}\n')
+    rows = readers.read_truthful(spark, str(tmp_path / "own.json"), "json").collect()
+    assert sorted(r.qid for r in rows) == ["1", "x7"] and all(len(r.options) == 2 for r in rows)
