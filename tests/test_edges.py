@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import letter_at
-from plumbline.operators import learn, mcq, trace
+from plumbline.operators import boosting, mcq, trace
 from plumbline.operators.comparison import trapezoid_area
 from plumbline.operators.metrics import ece
 from plumbline.operators.scan import hashed_scan
@@ -14,25 +14,9 @@ from plumbline.sources import readers
 
 def test_kept_rounds_are_those_of_the_least_validation_loss():
     losses = [5, 4, 4.5, 3, 3.2, 3.1, 2.9, 3.5]
-    assert learn.kept_rounds(losses, 100) == 7
-    assert learn.kept_rounds(losses, 2) == 4
-    assert learn.kept_rounds([1.0], 5) == 1
-
-
-def test_boosting_keeps_the_rounds_of_the_least_loss(spark):
-    from pyspark.ml.functions import array_to_vector
-
-    x = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
-    noise = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 1000.0
-    rows = spark.range(1500).select(
-        array_to_vector(F.array(x, noise)).alias("features"),
-        (x + 0.6 * noise > 0.8).cast("int").alias("y"),
-        (F.col("id") % 4 == 0).alias("val"),
-    ).cache()
-    model = learn.train_tree(rows, "val", iterations=12, step=0.2, depth=3)
-    everything = learn.train_tree(rows.where("not val"), None, iterations=12, step=0.2, depth=3)
-    losses = everything.evaluateEachIteration(rows.where("val").select("features", F.col("y").cast("double").alias("y")))
-    assert model.getNumTrees == losses.index(min(losses)) + 1 > 1
+    assert boosting.kept_rounds(losses, 100) == 7
+    assert boosting.kept_rounds(losses, 2) == 4
+    assert boosting.kept_rounds([1.0], 5) == 1
 
 
 def test_rows_without_a_label_stay_in_splits(spark):
