@@ -4,20 +4,24 @@ A bare window per group puts the group into one task. Here a group is cut into p
 one group may hold most of the rows:
 
 * `ordered_scan` range-partitions by (keys, order). Spark samples the boundaries, so a large group
-  spreads over many partitions. The placement is checkpointed once; per-piece totals (one row per
-  key and partition) give the offset that a piece needs.
+  spreads over many partitions. Running sums are taken there, the placement is checkpointed once, and
+  per-piece totals (one row per key and partition) give the offset that a piece needs.
 * `hashed_scan` orders by a uniform keyed hash. The hash prefix is the piece, so neither sampling
   nor a checkpoint is needed.
 * `neighbours` reads earlier rows of a dense sequence inside fixed-length blocks that overlap.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import keyed_hash
 from ..session import checkpointed
@@ -28,6 +32,71 @@ HASH_PIECE_BITS = 20
 BLOCK_LENGTH = 4096
 
 
+def _running(keys: Sequence[str], sums: Mapping[str, str]):
+    """A pass over the Arrow batches of a sorted partition that adds the running sum `_run_<name>` of
+    each entry name -> column, anew for each run of equal keys. A missing value adds nothing; the sum
+    is missing until a value came. Inner functions travel to the workers
+    whole, so these need not have the package."""
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        starts = np.zeros(batch.num_rows, dtype=bool)
+        for key in keys:
+            column = batch.column(batch.schema.get_field_index(key))
+            after, before = column.slice(1), column.slice(0, len(column) - 1)
+            differs = pc.not_equal(after, before)
+            if pa.types.is_floating(column.type):  # NaN is a key like any other
+                differs = pc.and_not(differs, pc.and_(pc.is_nan(after), pc.is_nan(before)))
+            starts[1:] |= differs.to_numpy(zero_copy_only=False)
+        return starts
+
+    def by_run(values: np.ndarray, runs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Running sums of whole numbers that begin anew at each of the places `runs`."""
+        upto = np.cumsum(values)
+        return upto - np.repeat(upto[runs] - values[runs], sizes)
+
+    def same(one, other) -> bool:
+        return all(a == b or (a != a and b != b) for a, b in zip(one, other))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = changes(batch)
+            first, final = (
+                [batch.column(batch.schema.get_field_index(k))[i].as_py() for k in keys]
+                for i in (0, batch.num_rows - 1)
+            )
+            if last is None or not same(first, last):
+                carried = {}
+            runs = np.flatnonzero(np.concatenate(([True], starts[1:])))
+            sizes = np.diff(np.append(runs, batch.num_rows))
+            added = []
+            for name, column in sums.items():
+                given = batch.column(batch.schema.get_field_index(column))
+                whole = pa.types.is_integer(given.type)
+                there = given.is_valid().to_numpy(zero_copy_only=False)
+                filled = pc.fill_null(given, 0 if whole else 0.0).to_numpy(zero_copy_only=False)
+                filled = filled.astype(np.int64 if whole else np.float64)
+                total, seen = carried.get(name, (0, 0))
+                filled[0] += total
+                counts = there.astype(np.int64)
+                counts[0] += seen
+                counts = by_run(counts, runs, sizes)
+                if whole:
+                    sum_so_far = by_run(filled, runs, sizes)
+                else:  # differences of long sums would lose digits
+                    sum_so_far = np.concatenate([np.cumsum(part) for part in np.split(filled, runs[1:])])
+                carried[name] = (sum_so_far[-1], counts[-1])
+                added.append(pa.array(sum_so_far, mask=counts == 0))
+            last = final
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *added], [*batch.schema.names, *[f"_run_{name}" for name in sums]]
+            )
+
+    return add
+
+
 def ordered_scan(
     df: DataFrame,
     order: Sequence[str],
@@ -38,55 +107,69 @@ def ordered_scan(
     """Add `rank` (1-based position inside the key group), `rank_total` (group size) and, for each
     `sums` entry name -> column, the running sum `name` and the group sum `name_total`.
 
-    `order` must be unique inside a group; key columns must not be NULL.
+    `order` must be unique inside a group; key columns must not be NULL. A sum is over the values that
+    are there, and NULL before the first of them. The rows cross one exchange: running sums are taken in
+    the sorted partition before it is written, and the offsets of the pieces are added when it is read.
     """
     keys, order, sums = list(keys), list(order), dict(sums or {})
     pieces = ["_piece", *keys]
-    placed = checkpointed(
-        df.repartitionByRange(*keys, *order)
+    whole = ("tinyint", "smallint", "int", "bigint")
+    types = {c: t for c, t in df.dtypes}
+    summed = {name: f"_sum_{name}" for name in sums}
+    placed = (
+        df.withColumns(
+            {summed[n]: F.col(c).cast("bigint" if types[c] in whole else "double") for n, c in sums.items()}
+        )
+        .repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_piece", F.shiftright("_at", PARTITION_SHIFT))
     )
+    if sums:
+        added = [T.StructField(f"_run_{name}", placed.schema[c].dataType) for name, c in summed.items()]
+        schema = T.StructType([*placed.schema.fields, *added])
+        placed = placed.mapInArrow(_running(keys, summed), schema).drop(*summed.values())
+    placed = checkpointed(placed)
+    # The last running sum of a piece is its total; the rows of a piece are in the order of `_at`.
+    last = {name: F.max_by(f"_run_{name}", "_at") for name in sums}
     totals = placed.groupBy(*pieces).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{name}") for name, c in sums.items()]
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_at").alias("_first"),
+        *[expression.alias(f"_s_{name}") for name, expression in last.items()],
     )
     # Per key there is at most one row per range partition, so this window stays small.
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *pieces,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         F.sum("_n").over(group).alias(f"{rank}_total"),
         *[
             expression
             for name in sums
             for expression in (
-                F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_before_{name}"),
+                F.sum(f"_s_{name}").over(before).alias(f"_before_{name}"),
                 F.sum(f"_s_{name}").over(group).alias(f"{name}_total"),
             )
         ],
     )
-    # The window and the join hash by the same columns: one exchange, and a piece is one partition.
-    inside = Window.partitionBy(*pieces).orderBy("_at")
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed.select(
-        "*",
-        F.row_number().over(inside).alias("_local"),
-        *[F.sum(c).over(running).alias(f"_local_{name}") for name, c in sums.items()],
-    )
-    joined = local.join(offsets, pieces)
+    # Without keys there is a row for each range partition. With keys the table is written, so that the
+    # optimizer knows its size: it goes to the rows, and not the rows to it, unless there are very many keys.
+    offsets = checkpointed(offsets) if keys else F.broadcast(offsets)
+    joined = placed.join(offsets, pieces)
+
+    def running(name: str) -> Column:
+        mine, earlier = F.col(f"_run_{name}"), F.col(f"_before_{name}")
+        return F.coalesce(mine + earlier, mine, earlier)
+
     return joined.select(
         *[F.col(c) for c in df.columns],
-        (F.col("_local") + F.col("_before")).alias(rank),
+        (F.col("_at") + F.col("_shift")).alias(rank),
         F.col(f"{rank}_total"),
         *[
             expression
             for name in sums
-            for expression in (
-                (F.col(f"_local_{name}") + F.col(f"_before_{name}")).alias(name),
-                F.col(f"{name}_total"),
-            )
+            for expression in (running(name).alias(name), F.col(f"{name}_total"))
         ],
     )
 
