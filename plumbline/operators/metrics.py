@@ -271,9 +271,21 @@ def aurc_from_cells(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def abstention_thresholds(
     df: DataFrame, targets: Sequence[float], p: str = "p", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """(keys, target, tau): the actual score at position rint((n - 1) * (1 - target))."""
+    """(keys, target, tau): the actual score at position rint((n - 1) * (1 - target)).
+
+    A group with a score that is missing or NaN has no position to speak of: its tau is NULL.
+    """
     names = {f"tau_{i}": 1.0 - float(t) for i, t in enumerate(targets)}
     wide = exact_quantiles(df, p, names, keys, nearest=True)
+    lacking = df.groupBy(*keys).agg(
+        F.max(F.col(p).isNull() | F.isnan(F.col(p).cast("double"))).alias("_lacking")
+    )
+    if keys:
+        wide = wide.join(lacking, list(keys))
+    else:
+        # One number: a join without a key would be a nested loop.
+        wide = wide.withColumn("_lacking", F.lit(lacking.first()["_lacking"]).cast("boolean"))
+    wide = wide.withColumns({name: F.when(~F.col("_lacking"), F.col(name)) for name in names})
     pairs = F.array(
         *[
             F.struct(F.lit(float(t)).alias("target"), F.col(f"tau_{i}").alias("tau"))

@@ -13,7 +13,10 @@ from plumbline.session import checkpointed
 
 SF_DIR = "/root/testdata/sf0.001"
 # These fit models or write files when called; their plans only read results back.
-EAGER = {"fit_detector", "score_saved_detector", "cross_validated_bag", "whole_run", "report_core"}
+EAGER = {
+    "fit_detector", "score_saved_detector", "cross_validated_bag", "whole_run", "report_core",
+    "report_predictions", "report_reliability", "report_abstention", "report_document", "selective_export",
+}
 
 
 def plan(df):
