@@ -305,28 +305,44 @@ def abstention_metrics(
 ) -> DataFrame:
     """Metrics of answering below and abstaining from `tau` on, per key and target.
 
-    `thresholds` has one row per key and target. The expanded rows are reduced to (target, bin, abstained) sums on the map side. Rows without a score
-    are left out of every count and reported as `unscored`.
+    `thresholds` has one row per key and target. A row is not copied for each target: it is counted by how
+    many of its key's thresholds it reaches, and the few counts (level, bin) answer all targets. Rows
+    without a score are left out of every count and reported as `unscored`, as is every row of a target
+    without a threshold.
     """
     base = list(keys)
     targets = thresholds.groupBy(*base).agg(
         F.collect_list(F.struct("target", "tau")).alias("_targets")
     )
-    if base:
-        # One row per key: the optimizer broadcasts what it measures to be small.
-        rows = df.join(targets, base)
-    else:
+    # The thresholds that a score of exactly `tau` reaches, its own and equal ones included.
+    reached = F.transform(
+        "_targets",
+        lambda t: F.struct(
+            t["target"].alias("target"),
+            t["tau"].alias("tau"),
+            F.when(
+                t["tau"].isNotNull(), F.size(F.filter("_targets", lambda o: o["tau"] <= t["tau"]))
+            ).alias("_reach"),
+        ),
+    )
+    row = None if base else targets.first()
+
+    def with_targets(table: DataFrame) -> DataFrame:
+        if base:
+            # One row per key: the optimizer broadcasts what it measures to be small.
+            return table.join(targets, base)
         # One row in all, a number per target: a join without a key would be a nested loop.
-        row = targets.first()
         fixed = row["_targets"] if row else []
         pairs = [F.struct(F.lit(t.target).alias("target"), F.lit(t.tau).alias("tau")) for t in fixed]
-        rows = df.withColumn("_targets", F.array(*pairs).cast(targets.schema["_targets"].dataType))
-    expanded = rows.select(*base, F.col(p).alias("_p"), F.col(y).alias("_y"), F.inline("_targets"))
-    group = [*base, "target", "tau"]
-    sums = (
-        expanded.withColumn("_abstain", F.col("_p") >= F.col("tau"))
-        .withColumn("_bin", equal_width_bin("_p", bins))
-        .groupBy(*group, "_abstain", "_bin")
+        return table.withColumn("_targets", F.array(*pairs).cast(targets.schema["_targets"].dataType))
+
+    levelled = with_targets(df.select(*base, F.col(p).alias("_p"), F.col(y).alias("_y"))).withColumn(
+        "_level",
+        F.when(F.col("_p").isNotNull(), F.size(F.filter("_targets", lambda t: t["tau"] <= F.col("_p")))),
+    )
+    counted = (
+        levelled.withColumn("_bin", equal_width_bin("_p", bins))
+        .groupBy(*base, "_level", "_bin")
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.sum("_y").cast("double").alias("_wrong"),
@@ -334,6 +350,14 @@ def abstention_metrics(
             F.sum((F.col("_p") - F.col("_y")) * (F.col("_p") - F.col("_y"))).alias("_square"),
         )
     )
+    amounts = ("_n", "_wrong", "_sum_p", "_square")
+    group = [*base, "target", "tau"]
+    sums = (
+        with_targets(counted)
+        .select(*base, "_level", "_bin", *amounts, F.inline(reached))
+        .groupBy(*group, (F.col("_level") >= F.col("_reach")).alias("_abstain"), "_bin")
+        .agg(*[F.sum(c).alias(c) for c in amounts])
+    )
 
     def over(condition: Column, value: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("double")

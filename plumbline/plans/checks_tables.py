@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -261,11 +262,26 @@ DESCRIBE_SQL = f"WITH {COLLAPSED} " + " UNION ALL ".join(
 
 
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal for a table and for its rows and columns in another order."""
+    """Equal for a table and for its rows and columns in another order, different after any change of a
+    value, a row, a repetition, a name or a type."""
     rows = fixtures.table(spark, sf_dir, "orders")
-    moved = rows.select(*reversed(rows.columns)).repartition("o_custkey")
-    both = quality.fingerprint(rows).unionByName(quality.fingerprint(moved))
-    return both.groupBy("rows").agg(F.countDistinct("schema_hash", "xor", "total").alias("kinds"))
+    one = F.col("o_orderkey") == 1
+    variants = {
+        "as it is": rows,
+        "moved": rows.select(*reversed(rows.columns)).repartition("o_custkey"),
+        "value": rows.withColumn("o_totalprice", F.when(one, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))),
+        "missing value": rows.withColumn("o_orderpriority", F.when(~one, F.col("o_orderpriority"))),
+        "row less": rows.where(~one),
+        "repeated row": rows.unionByName(rows.where(one)),
+        "repeated twice": rows.unionByName(rows.where(one)).unionByName(rows.where(one)),
+        "name": rows.withColumnRenamed("o_orderpriority", "priority"),
+        "type": rows.withColumn("o_orderkey", F.col("o_orderkey").cast("string")),
+    }
+    parts = [quality.fingerprint(table).withColumn("variant", F.lit(name)) for name, table in variants.items()]
+    prints = reduce(DataFrame.unionByName, parts)
+    # One row for each variant; equal prints share a group.
+    alike = Window.partitionBy("schema_hash", "rows", "xor", "total")
+    return prints.select("variant", "rows", F.count(F.lit(1)).over(alike).alias("alike"))
 
 
 def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +393,11 @@ ORACLES = {
     + " AS tag FROM pages",
     "feature_audit": AUDIT_SQL,
     "feature_describe": DESCRIBE_SQL,
-    "table_fingerprint": "SELECT count(*) AS rows, CAST(1 AS BIGINT) AS kinds FROM orders",
+    "table_fingerprint": "WITH v(variant, more, alike) AS (VALUES ('as it is', 0, 2), ('moved', 0, 2), "
+    "('value', 0, 1), ('missing value', 0, 1), ('row less', -1, 1), ('repeated row', 1, 1), "
+    "('repeated twice', 2, 1), ('name', 0, 1), ('type', 0, 1)), "
+    "n AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey = 1) AS one FROM orders) "
+    "SELECT variant, n + more * one AS rows, CAST(alike AS BIGINT) AS alike FROM v, n",
     "row_hashes": "SELECT o_orderkey, sha256(o_orderkey || chr(31) || o_orderstatus) AS hash "
     "FROM orders",
     "split_stratified": f"WITH {SCORED}, {PLACED} SELECT row_id, y, CASE WHEN position <= "

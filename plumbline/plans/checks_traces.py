@@ -174,23 +174,23 @@ def trace_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _region(spark, sf_dir).where((F.col("step") == 0) & (F.col("role") == "cond"))
+    rows = _region(spark, sf_dir)
     columns = []
     for view in ("letter", "content"):
         for span in ("first", "all", 2):
             start, length = tr.span_bounds(view, span)
             columns.append(start.cast("int").alias(f"{view}_{span}_start"))
             columns.append(length.cast("int").alias(f"{view}_{span}_len"))
-    return rows.select("qid", "letter", *columns)
+    return rows.select("qid", "letter", "role", "step", *columns)
 
 
-SPANS_SQL = f"""WITH {REGION} SELECT qid, letter, 0 AS letter_first_start, 1 AS letter_first_len,
+SPANS_SQL = f"""WITH {REGION} SELECT qid, letter, role, step, 0 AS letter_first_start, 1 AS letter_first_len,
   0 AS letter_all_start, resp_len AS letter_all_len, 0 AS letter_2_start,
   least(2, resp_len) AS letter_2_len,
   least(2, resp_len - 1) AS content_first_start, 1 AS content_first_len,
   least(2, resp_len - 1) AS content_all_start, resp_len - least(2, resp_len - 1) AS content_all_len,
   least(2, resp_len - 1) AS content_2_start, least(2, resp_len - least(2, resp_len - 1))
-    AS content_2_len FROM rg WHERE step = 0 AND role = 'cond'"""
+    AS content_2_len FROM rg"""
 
 
 def _evidence(spark: SparkSession, sf_dir: str, view: str, span: str) -> DataFrame:

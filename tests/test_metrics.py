@@ -87,6 +87,16 @@ def test_nearest_threshold(spark):
         assert r.tau == np.quantile(values, 1.0 - r.target, method="nearest")
 
 
+@pytest.mark.parametrize("missing", [None, float("nan")])
+def test_no_threshold_where_a_score_is_missing(spark, missing):
+    rows = [("a", 0, 0.1), ("a", 1, 0.4), ("b", 0, 0.2), ("b", 1, missing)]
+    df = spark.createDataFrame(rows, "k STRING, y INT, p DOUBLE")
+    got = {r.k: r.tau for r in met.abstention_thresholds(df, (0.5,), keys=["k"]).collect()}
+    assert got == {"a": pytest.approx(0.1), "b": None}
+    assert [r.tau for r in met.abstention_thresholds(df, (0.5,)).collect()] == [None]
+    assert [r.tau for r in met.abstention_thresholds(df.where("k = 'a'"), (0.0,)).collect()] == [0.4]
+
+
 def test_abstention_without_kept_rows(spark):
     taus = spark.createDataFrame([(0.5, 0.0), (0.1, 2.0)], "target DOUBLE, tau DOUBLE")
     rows = {r.target: r for r in met.abstention_metrics(
@@ -181,3 +191,30 @@ def test_bootstrap_of_one_class_and_own_metric(spark):
 
     own = bootstrap_ci(scores(spark), ("mean_p",), 20, builders={"mean_p": mean_p}).first()
     assert own.point == pytest.approx(np.mean(P)) and own.lo <= own.point <= own.hi
+
+
+def test_abstention_against_single_targets(spark):
+    """Equal thresholds, scores that equal one, rows without a score, a target without a threshold."""
+    rng = np.random.default_rng(11)
+    rows = [
+        ("ab"[i % 7 == 0], int(rng.integers(0, 2)), None if i % 13 == 0 else round(float(rng.random()), 1))
+        for i in range(600)
+    ]
+    df = spark.createDataFrame(rows, "k STRING, y INT, p DOUBLE")
+    taus = [(0.1, 0.5), (0.2, 0.5), (0.3, 0.0), (0.4, 2.0), (0.5, 0.3), (0.6, None)]
+    thresholds = spark.createDataFrame([(k, *t) for k in "ab" for t in taus], "k STRING, target DOUBLE, tau DOUBLE")
+    for keys, table, source in (
+        (["k"], thresholds, df), ([], thresholds.where("k = 'a'").drop("k"), df.where("k = 'a'"))
+    ):
+        got = met.abstention_metrics(source, table, keys=keys).collect()
+        assert len(got) == len(taus) * (2 if keys else 1)
+        for r in got:
+            mine = [(y, p) for k, y, p in rows if k == (r.k if keys else "a")]
+            known = [(y, p) for y, p in mine if p is not None] if r.tau is not None else []
+            kept = [(y, p) for y, p in known if p < r.tau]
+            held = [(y, p) for y, p in known if p >= r.tau]
+            assert r.unscored == len(mine) - len(known)
+            assert r.coverage == (pytest.approx(len(kept) / len(known)) if known else None)
+            assert r.kept_error == (pytest.approx(np.mean([y for y, _ in kept])) if kept else None)
+            assert r.brier_kept == (pytest.approx(np.mean([(p - y) ** 2 for y, p in kept])) if kept else None)
+            assert r.abstention_precision == (pytest.approx(np.mean([y for y, _ in held])) if held else None)

@@ -80,3 +80,12 @@ def test_no_nested_loops_and_no_python(spark, name):
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
                  "MapInPandas", "FlatMapGroupsInPandas"):
         assert word not in text
+
+
+def test_targets_are_answered_from_counts(spark):
+    """The rows are counted once; only the counts are laid out by target."""
+    rows = fixtures.scored(spark, SF_DIR).select("y", F.col("p_err").alias("p"), F.col("split").alias("k"))
+    thresholds = spark.createDataFrame([("test", 0.1, 0.4), ("calib", 0.1, 0.4)], "k STRING, target DOUBLE, tau DOUBLE")
+    text = plan(met.abstention_metrics(rows, thresholds, keys=["k"]))
+    assert "Generate" in text
+    assert "partial_count" in text.split("Generate", 1)[1]
