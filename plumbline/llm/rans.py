@@ -50,12 +50,24 @@ def frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
     return scaled
 
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and the place of each id among them."""
+    if not len(ids):
+        return ids, np.zeros(0, np.int64)
+    if int(ids.max()) >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    # Ids of a vocabulary are small: a table of them spares the sort.
+    seen = np.zeros(int(ids.max()) + 1, bool)
+    seen[ids] = True
+    return np.flatnonzero(seen).astype(np.uint32), (np.cumsum(seen) - 1)[ids]
+
+
 def encode(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """One segment of documents with the given numbers of ids."""
     ids, lengths = np.asarray(ids, np.uint32), np.asarray(lengths, np.uint32)
     n = len(ids)
     blocks = -(-n // BLOCK)
-    symbols, rank = np.unique(ids, return_inverse=True) if n else (ids, np.zeros(0, np.int64))
+    symbols, rank = _ranked(ids)
     bits = max(BITS, int(len(symbols)).bit_length() + 2)
     freq = frequencies(np.bincount(rank).astype(np.float64), bits) if n else np.zeros(0, np.int64)
     start = np.cumsum(freq) - freq

@@ -1,16 +1,17 @@
 """Token ids of whole texts as the tokenizer gives them, with a bounded memory of the words already encoded.
 
 Both vocabularies merge inside words only, so a text's ids are those of its words, each taken with
-the blank or line feed before it. Texts with other white space, with two blanks in a row, or with the
+the blank or line feed before it, and of a full stop or comma behind them; no merge joins a letter and
+a mark after it. Texts with other white space, with two blanks in a row, or with the
 string of a special token are given to the tokenizer whole. A worker keeps its tokenizer and its
 memory between batches.
 """
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,10 @@ MEMORY_BYTES = 96 << 20  # of words kept, as estimated by WORD_BYTES
 WORD_BYTES = 180  # of a kept word beside its letters: string, dictionary entry and ids
 TEXT_BYTES = 4 << 20  # of text encoded at a time
 LONGEST = 64  # characters; longer parts are encoded but not kept
-_PLAIN = re.compile(r"([ \n]?)([^\W\d_]+)([.,]?)")
 _CONTROLS = np.zeros(256, bool)
 _CONTROLS[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_LATIN = np.zeros(256, bool)
+_LATIN[65:91] = _LATIN[97:123] = True
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,7 +61,11 @@ def parts(texts: pa.Array, specials: tuple[str, ...] = ()) -> tuple[pa.Array, np
     for special in specials:
         whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
     whole[np.searchsorted(at, np.flatnonzero(rare), "right") - 1] = True
-    cuts = np.flatnonzero(blank)
+    # A mark between a letter and a blank or the text's end stands by itself: words repeat more without it.
+    alone = np.append(blank[1:], False)
+    alone[last] = True
+    alone &= ((data == 46) | (data == 44)) & np.append(False, _LATIN[data[:-1]])
+    cuts = np.flatnonzero(blank | alone)
     cuts = cuts[~whole[np.searchsorted(at, cuts, "right") - 1]]
     begins = np.zeros(len(data), bool)
     begins[first] = begins[cuts] = True
@@ -102,8 +108,12 @@ class Encoder:
         space = "" if self.lower else _LETTERS[32]
         marks = {"": []} | {mark: self._piece(mark) for mark in ".,"}
         for word in new:
-            if (m := _PLAIN.fullmatch(word)) and m[2].isalpha():
-                blank, letters, mark = m.groups()
+            blank = word[0] if word[0] in " \n" else ""
+            letters = word[1:] if blank else word
+            mark = letters[-1:] if letters[-1:] in marks else ""
+            if mark:
+                letters = letters[:-1]
+            if letters.isalpha():
                 if self.lower:
                     # The library lower-cases a sigma without regard to its place in the word.
                     final = "\u03a3" in letters
@@ -133,17 +143,16 @@ class Encoder:
         coded = found.dictionary_encode()
         words = coded.dictionary.to_pylist()
         known = len(self.rows)
-        rows, new, long = np.empty(len(words), np.int64), [], []
-        for k, word in enumerate(words):
-            row = self.rows.get(word)
-            if row is None:
-                if len(word) > LONGEST or self.held > MEMORY_BYTES:
-                    long.append(k)
-                    continue
-                self.held += WORD_BYTES + len(word)
-                row = self.rows[word] = known + len(new)
-                new.append(word)
-            rows[k] = row
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        new, long = [], []
+        for k in np.flatnonzero(rows < 0).tolist():
+            word = words[k]
+            if len(word) > LONGEST or self.held > MEMORY_BYTES:
+                long.append(k)
+                continue
+            self.held += WORD_BYTES + len(word)
+            rows[k] = self.rows[word] = known + len(new)
+            new.append(word)
         if new:
             self._add(self._encode(new))
         kept = len(self.start), len(self.flat)

@@ -207,3 +207,20 @@ def test_language_model_equals_counts(spark):
         assert got[key].score == pytest.approx(score, abs=0.02 * len(chain))
         assert got[key].n_known == sum(w in one for w in chain[1:])
         assert got[key].train_tokens == n
+
+
+def test_marks_behind_letters_are_parts_of_their_own():
+    from plumbline.llm.tokens import parts
+
+    texts = pa.array(["ab, cd. x1, e.f", "g,", None, ",h\u00e9, i"])
+    found, owner = parts(texts)
+    assert found.to_pylist() == ["ab", ",", " cd", ".", " x1,", " e.f", "g", ",", ",h\u00e9,", " i"]
+    assert owner.tolist() == [0] * 6 + [1] * 2 + [3] * 2
+
+
+def test_ranks_of_small_and_large_ids():
+    for top in (5, 50_000, 1 << 30):
+        ids = np.random.default_rng(1).integers(0, top, 3000).astype(np.uint32)
+        symbols, rank = rans._ranked(ids)
+        want, place = np.unique(ids, return_inverse=True)
+        assert (symbols == want).all() and (rank == place).all() and symbols.dtype == want.dtype
