@@ -11,14 +11,14 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 MEMORY_BYTES = 96 << 20  # of words kept, as estimated by WORD_BYTES
-WORD_BYTES = 180  # of a kept word beside its letters: string, dictionary entry and ids
+WORD_BYTES = 180  # of a kept word beside its letters: its place and ids, and its share of a search table
 TEXT_BYTES = 4 << 20  # of text encoded at a time
 LONGEST = 64  # characters; longer parts are encoded but not kept
 _CONTROLS = np.zeros(256, bool)
@@ -89,7 +89,7 @@ class Encoder:
 
     def clear(self):
         self.held = 0
-        self.rows: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())  # kept, in the order of their ids
         self.start = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -105,6 +105,7 @@ class Encoder:
     def _encode(self, new: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
         late = []
+        tokenize = self.model.tokenize
         space = "" if self.lower else _LETTERS[32]
         marks = {"": []} | {mark: self._piece(mark) for mark in ".,"}
         for word in new:
@@ -124,7 +125,7 @@ class Encoder:
                         continue
                 if not letters.isascii():
                     letters = "".join([_LETTERS[b] for b in letters.encode()])
-                ids = [t.id for t in self.model.tokenize(space + letters if blank == " " else letters)]
+                ids = [t.id for t in tokenize(space + letters if blank == " " else letters)]
                 if blank == "\n":
                     ids = self.feed + ids
                 out.append(ids + marks[mark])
@@ -141,24 +142,25 @@ class Encoder:
             self.clear()
         found, owner = parts(texts, self.specials)
         coded = found.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        known = len(self.rows)
-        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
-        new, long = [], []
-        for k in np.flatnonzero(rows < 0).tolist():
-            word = words[k]
-            if len(word) > LONGEST or self.held > MEMORY_BYTES:
-                long.append(k)
-                continue
-            self.held += WORD_BYTES + len(word)
-            rows[k] = self.rows[word] = known + len(new)
-            new.append(word)
-        if new:
-            self._add(self._encode(new))
+        words, known = coded.dictionary, len(self.words)
+        rows = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unseen = np.flatnonzero(rows < 0)
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)[unseen]
+        short = sizes <= LONGEST
+        weights = (WORD_BYTES + sizes) * short
+        # A word is kept as long as those before it have left room.
+        short &= self.held + np.cumsum(weights) - weights <= MEMORY_BYTES
+        keep, long = unseen[short], unseen[~short]
+        if len(keep):
+            self.held += int(weights[short].sum())
+            new = words.take(pa.array(keep))
+            rows[keep] = np.arange(known, known + len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self._add(self._encode(new.to_pylist()))
         kept = len(self.start), len(self.flat)
-        if long:
+        if len(long):
             rows[long] = np.arange(len(long)) + kept[0] - 1
-            self._add(self.whole([words[k] for k in long]))
+            self._add(self.whole(words.take(pa.array(long)).to_pylist()))
         at = rows[coded.indices.to_numpy(zero_copy_only=False)] if len(found) else np.zeros(0, np.int64)
         lengths = self.start[at + 1] - self.start[at]
         ends = np.cumsum(lengths)
@@ -170,7 +172,7 @@ class Encoder:
 
     def _add(self, found: list[list[int]]):
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
         self.flat = np.concatenate([self.flat, flat])
 

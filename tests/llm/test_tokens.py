@@ -1,9 +1,11 @@
 """Token ids, token files, packing and the language model against plain versions."""
 import bisect
 import collections
+import gc
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -55,6 +57,19 @@ def test_memory_is_bounded(monkeypatch):
         assert coder.held <= 10_000 + tokens.WORD_BYTES + tokens.LONGEST
 
 
+def test_kept_words_need_no_python_objects():
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), False)
+    text = pa.array([" ".join(f"w{i}" for i in range(40_000))])
+    coder.ids(text.slice(0, 0))
+    tracemalloc.start()
+    first = coder.ids(text)[0]
+    gc.collect()
+    grown = tracemalloc.get_traced_memory()[0] - first.nbytes
+    tracemalloc.stop()
+    assert grown < 60 * 40_000
+    assert (coder.ids(text)[0] == first).all() and len(coder.words) == 40_000
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK + 17])
 def test_rans_round_trip(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.2, n), 50256).astype(np.uint32)
