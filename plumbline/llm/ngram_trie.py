@@ -1,24 +1,35 @@
-"""Language-model scores from a sharded Elias-Fano trie of word pairs.
+"""Language-model scores from a sharded Elias-Fano trie of words, word pairs and word triples.
 
 Level 1 of a shard holds its contexts (a word, or the start of a text), level 2 the words seen after
 each of them. Both are Elias-Fano sequences: contexts by hash, pointers to where each context's
 successors begin, and successors as 32-bit hashes relative to their context, made monotone by the
-context's rank. A successor search inside a context finds a pair. The values of pairs are 8-bit codes of log10 of
-their share c(v w) / c(v); a context keeps c(v) and T(v), the number of distinct words after it. A
-shard's levels lie in one file that is memory-mapped while the shard answers.
-
+context's rank. Level 3 has the couples (u v) of a context v and the word before it, as 32-bit hashes
+relative to v, pointers to where each couple's triples begin, and the third words of the triples. A
+third word w is not a hash: it is the place of (v w) among the successors of v in level 2, made monotone
+by the couple's rank. So a shard has all levels of its contexts, and a block sends a triple as two
+small numbers. A successor search inside a context or couple finds an entry; a batch that asks for more
+than a quarter of a sequence reads it in order. The values of pairs and triples are 8-bit codes of log10 of
+their shares c(v w) / c(v) and c(u v w) / c(u v); a context keeps c(v) and T(v), the number of distinct
+words after it, and a couple c(u v) and T(u v). A shard's levels lie in one file that is memory-mapped
+while the shard answers.
+
+    p(w | u v) = (c(u v) share(u v w) + T(u v) p(w | v)) / (c(u v) + T(u v))
     p(w | v) = (c(v) share(v w) + T(v) p(w)) / (c(v) + T(v))
     p(w) = (c(w) - D1) / N, and D1 V / N for the class of all unknown words
 
-D1 = n1 / (n1 + 2 n2) from the counts of words that occur once and twice in all training texts.
+D1 = n1 / (n1 + 2 n2) from the counts of words that occur once and twice in all training texts. The first
+token of a text has the start as its only context; unknown contexts and couples leave all to the lower order.
+`score_documents` has the order as a parameter, and the query takes 3.
 
-The corpus is tokenised once into blocks of documents. A block sends its distinct pairs, with their
-counts in training documents, to the shards of their contexts, and a shard sends back the codes of
-the same pairs in the same order. So counts are combined before they move, a frequent word costs a
+The corpus is tokenised once into blocks of documents. A block sends its distinct pairs and triples, with
+their counts in training documents, to the shards of their contexts v, and a shard sends back the codes of
+the same entries in the same order. So counts are combined before they move, a frequent word costs a
 block one entry, no machine holds the whole model, and model and traffic grow with the corpus. A context
 with more entries than `PIECE_ENTRIES` has shards of its own, cut by ranges of successors. Its c(v) is
 summed over all blocks before, so shares are those of the whole context, and the parts of T(v) add
-up: scores do not depend on the number of shards, on cuts or on blocks.
+up. A context with more triples than that has its level 3 in other shards of its own, cut by ranges of
+predecessors, and a couple with so many is cut by ranges of successors in the same way as a context. Scores
+do not depend on the number of shards, on cuts or on blocks.
 
 Nulls: a null text is empty and has the end as its only token; a null doc_id is not held out and
 trains. Repeated rows count again. Without training documents all words are unknown.
@@ -28,6 +39,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -42,6 +54,7 @@ END = np.uint64(0x1D)
 START = np.uint64(0x2E)
 SHARD_TOKENS = 1_500_000
 PIECE_ENTRIES = 1_500_000  # of one context in all blocks, before it is cut
+ORDER = 3  # words of the longest entry, in the query
 BLOCK_BYTES = 6 << 20  # of text in a block
 LOWEST = -9.0  # log10 of the least value a code stands for
 _ONE = np.uint64(1)
@@ -83,18 +96,27 @@ class EliasFano:
             place += half * beyond
         return word * 64 + place
 
+    def _in_order(self) -> np.ndarray:
+        """All elements, read one after the other."""
+        ones = np.flatnonzero(np.unpackbits(self.bits.astype("<u8").view(np.uint8), bitorder="little"))
+        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(slice(None))
+
     def access(self, i: np.ndarray) -> np.ndarray:
+        if len(i) > self.n // 4:
+            return self._in_order()[i]
         high = (self._select(i, False) - i).astype(np.uint64)
         return (high << np.uint64(self.low_bits)) | self._low(i)
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
+    def _low(self, i: np.ndarray | slice) -> np.ndarray:
+        out = np.zeros(self.n if isinstance(i, slice) else len(i), np.uint64)
         for k in range(self.low.shape[1]):
             out |= self.low[i, k].astype(np.uint64) << np.uint64(8 * k)
         return out
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The index of the first element that is not below x (n, if all are)."""
+        if len(x) > self.n // 4:
+            return np.searchsorted(self._in_order(), x)
         high = (x >> np.uint64(self.low_bits)).astype(np.int64)
         zeros = len(self.bits) * 64 - self.n
         known = high < zeros
@@ -124,10 +146,15 @@ def value(codes: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """One shard, built from distinct pairs (context, successor) sorted by both, and their counts. Of a
-    context that is cut, `whole` gives the count in all pieces."""
-
-    def __init__(self, context: np.ndarray, successor: np.ndarray, count: np.ndarray, folder: str, whole: int | None = None):
+    """One shard, built from what was seen in training: distinct pairs (context, successor) sorted by both,
+    and their counts; with a third level, distinct couples (context, predecessor) sorted by both, and distinct
+    triples (number of the couple, number of the pair) sorted by both, and their counts. Of a context that
+    is cut, `whole` gives the count in all pieces, and `whole_couple` that of a couple."""
+
+    def __init__(
+        self, context: np.ndarray, successor: np.ndarray, count: np.ndarray, folder: str, whole: int | None = None,
+        couples: tuple = (), triples: tuple = (), whole_couple: int | None = None,
+    ):
         keys, first = np.unique(context, return_index=True)
         ends = np.append(first[1:], len(context)).astype(np.int64)
         total = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
@@ -139,7 +166,24 @@ class Trie:
         self.successors = EliasFano((rank.astype(np.uint64) << np.uint64(32)) | successor)
         shares = code(count / total[rank]) if len(rank) else np.zeros(0, np.uint8)
         plain = {"shares": shares, "total": total, "distinct": ends - first}
-        for name in ("contexts", "pointers", "successors"):
+        levels = ["contexts", "pointers", "successors"]
+        if len(couples):
+            owner, predecessor = couples
+            couple, pair, times = triples
+            owner = np.searchsorted(keys, owner)
+            heads = np.searchsorted(couple, np.arange(len(owner) + 1)).astype(np.int64)
+            sums = np.add.reduceat(times, heads[:-1]) if len(owner) else np.zeros(0, np.int64)
+            if whole_couple is not None:
+                sums = np.full(len(owner), whole_couple, np.int64)
+            self.predecessors = EliasFano((owner.astype(np.uint64) << np.uint64(32)) | predecessor)
+            self.spans = EliasFano(heads)
+            # A third word is its number among the successors of the second.
+            number = (pair - first[owner[couple]]).astype(np.uint64)
+            self.thirds = EliasFano((couple.astype(np.uint64) << np.uint64(32)) | number)
+            third_shares = code(times / sums[couple]) if len(couple) else np.zeros(0, np.uint8)
+            plain |= {"third_shares": third_shares, "sums": sums}
+            levels += ["predecessors", "spans", "thirds"]
+        for name in levels:
             plain |= {f"{name}.{k}": v for k, v in getattr(self, name).arrays().items()}
         path = os.path.join(folder, "levels")
         places, at = {}, 0
@@ -155,92 +199,223 @@ class Trie:
             level, _, part = name.partition(".")
             setattr(getattr(self, level) if part else self, part or level, array)
 
-    def find(self, context: np.ndarray, sizes: np.ndarray, successor: np.ndarray):
-        """Counts c and T of contexts, and shares of their successors (`sizes` of each context)."""
+    @staticmethod
+    def _inside(children: EliasFano, pointers: EliasFano, parent: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The places of labels among the children of their parents; -1 where there is none."""
+        place = np.full(len(parent), -1, np.int64)
+        ask = np.flatnonzero((parent >= 0) & (label >= 0))
+        if len(ask) and children.n:
+            key = (parent[ask].astype(np.uint64) << np.uint64(32)) | label[ask].astype(np.uint64)
+            found = children.successor(key)
+            inside = found < pointers.access(parent[ask] + 1).astype(np.int64)
+            inside[inside] = children.access(found[inside]) == key[inside]
+            place[ask[inside]] = found[inside]
+        return place
+
+    def find(self, context: np.ndarray, owner: np.ndarray, successor: np.ndarray):
+        """Counts c and T of contexts; shares and places of pairs (number of the asked context, successor)."""
         n = self.contexts.n
-        at = self.contexts.successor(context)
+        at = self.contexts.successor(context) if n else np.zeros(len(context), np.int64)
         known = at < n
         known[known] = self.contexts.access(at[known]) == context[known]
-        at = np.where(known, at, 0)
-        counts = np.where(known, self.total[at], 0) if n else np.zeros(len(context), np.int64)
-        distinct = np.where(known, self.distinct[at], 0) if n else np.zeros(len(context), np.int64)
-        rank, seen = np.repeat(at, sizes), np.repeat(known, sizes)
-        shares = np.zeros(len(successor), np.uint8)
-        ask = np.flatnonzero(seen)
-        if len(ask):
-            key = (rank[ask].astype(np.uint64) << np.uint64(32)) | successor[ask]
-            place = self.successors.successor(key)
-            last = self.pointers.access(rank[ask] + 1).astype(np.int64)
-            inside = place < last
-            inside[inside] = self.successors.access(place[inside]) == key[inside]
-            shares[ask[inside]] = self.shares[place[inside]]
+        at = np.where(known, at, -1)
+        counts, distinct = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        counts[known], distinct[known] = self.total[at[known]], self.distinct[at[known]]
+        place = self._inside(self.successors, self.pointers, at[owner], successor)
+        shares = np.zeros(len(place), np.uint8)
+        shares[place >= 0] = self.shares[place[place >= 0]]
+        return counts, distinct, shares, at, place
+
+    def find_thirds(self, at: np.ndarray, predecessor: np.ndarray, couple: np.ndarray, pair: np.ndarray):
+        """Counts c and T of couples (place of the context, predecessor), and shares of triples (number of
+        the asked couple, place of the pair)."""
+        counts, distinct = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        shares = np.zeros(len(couple), np.uint8)
+        place = np.full(len(at), -1, np.int64)
+        ask = np.flatnonzero(at >= 0)
+        if not len(ask) or not self.predecessors.n:
+            return counts, distinct, shares
+        key = (at[ask].astype(np.uint64) << np.uint64(32)) | predecessor[ask].astype(np.uint64)
+        found = self.predecessors.successor(key)
+        inside = found < self.predecessors.n
+        inside[inside] = self.predecessors.access(found[inside]) == key[inside]
+        place[ask[inside]] = found[inside]
+        own = place[place >= 0]
+        counts[place >= 0] = self.sums[own]
+        distinct[place >= 0] = (self.spans.access(own + 1) - self.spans.access(own)).astype(np.int64)
+        number = np.where(pair >= 0, pair - self.pointers.access(np.maximum(at[couple], 0)).astype(np.int64), -1)
+        third = self._inside(self.thirds, self.spans, place[couple], number)
+        shares[third >= 0] = self.third_shares[third[third >= 0]]
         return counts, distinct, shares
 
 
-BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, train array<boolean>, lengths binary, words binary, codes binary"
+_ZSTD = pa.Codec("zstd")
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0 as planes of bytes of as few bytes as they need, compressed together."""
+    arrays = [np.ascontiguousarray(a, np.min_scalar_type(int(a.max())) if len(a) else np.uint8) for a in arrays]
+    head = np.array([len(arrays)] + [x for a in arrays for x in (len(a), a.itemsize)], "<u4").tobytes()
+    body = b"".join([head, *[a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]])
+    return len(body).to_bytes(4, "little") + _ZSTD.compress(body, asbytes=True)
+
+
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    body = _ZSTD.decompress(packed[4:], int.from_bytes(packed[:4], "little"), asbytes=True)
+    number = int.from_bytes(body[:4], "little")
+    at, out = 4 + 8 * number, []
+    for n, size in np.frombuffer(body, "<u4", 2 * number, 4).reshape(-1, 2).tolist():
+        planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(n))
+        at += n * size
+    return out
+
+
+BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, train array<boolean>, tokens bigint, chains binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, train, text) -> one row for each batch: distinct words and the words' numbers in order."""
+    """(doc_id, train, text) -> one row for each batch: distinct words, the texts' lengths, and the words'
+    numbers in order."""
     from pyspark import TaskContext
 
     for number, batch in enumerate(text_slices(batches, 2, BLOCK_BYTES)):
         hashes, before = word_hashes(batch.column(2))
-        words, codes = np.unique(hashes, return_inverse=True)
+        words, codes, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        # Frequent words get small numbers, which take less room.
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         yield pa.RecordBatch.from_pydict(
             {
                 "block": [(TaskContext.get().partitionId() << 33) + number],
                 "doc_ids": [batch.column(0).to_pylist()],
                 "train": [batch.column(1).to_pylist()],
-                "lengths": [np.diff(before).astype("<u4").tobytes()],
-                "words": [words.astype("<u8").tobytes()],
-                "codes": [codes.astype("<u4").tobytes()],
+                "tokens": [len(hashes)],
+                "chains": [_pack(words[order], np.diff(before), rank[codes])],
             },
-            schema=pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())]),
+            schema=pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("tokens", pa.int64()), ("chains", pa.binary())]),
         )
 
 
-def _chain(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words with START and END behind them; then of each token: document, context and word number."""
-    words = np.append(np.frombuffer(row["words"], "<u8"), [START, END])
-    lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-    codes = np.frombuffer(row["codes"], "<u4").astype(np.int64)
-    start, end = len(words) - 2, len(words) - 1
+@dataclass
+class Chain:
+    """A block's words with START and END, numbered in order of their keys, and its tokens."""
+
+    key: np.ndarray  # of each word as a context
+    narrow: np.ndarray  # of each word as a successor or predecessor
+    start: int
+    end: int
+    doc: np.ndarray  # of each token, as the next two
+    context: np.ndarray
+    word: np.ndarray
+    lengths: np.ndarray
+    train: np.ndarray
+
+
+def _chain(row: dict) -> Chain:
+    words, lengths, codes = _unpack(row["chains"])
+    words = np.append(words.astype(np.uint64), [START, END])
+    spread = mixed(words)
+    order = np.argsort(spread)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    lengths, codes = lengths.astype(np.int64), rank[codes]
+    start, end = int(rank[-2]), int(rank[-1])
     ends = np.cumsum(lengths)
-    word = np.insert(codes, ends, end)
-    context = np.insert(codes, ends - lengths, start)
-    doc = np.repeat(np.arange(len(lengths)), lengths + 1)
-    return words, doc, context, word, lengths, np.array(row["train"], bool)
-
-
-def _pairs(words, context, word, weight):
-    """Distinct (context, word) pairs in order of the contexts' hashes and words' hashes, the pair of
-    each token, and the sum of the tokens' weights."""
-    pair = context * len(words) + word
-    distinct, which = np.unique(pair, return_inverse=True)
-    c, w = np.divmod(distinct, len(words))
-    narrow = (mixed(words[w] + _ONE) >> np.uint64(32)).astype(np.uint64)
-    order = np.lexsort((narrow, mixed(words[c])))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    count = np.bincount(which, weight, len(distinct)).astype(np.int64)[order]
-    return c[order], narrow[order], count, place[which]
+    return Chain(
+        spread[order] >> _ONE,
+        mixed(words[order] + _ONE) >> np.uint64(32),
+        start,
+        end,
+        np.repeat(np.arange(len(lengths)), lengths + 1),
+        np.insert(codes, ends - lengths, start),
+        np.insert(codes, ends, end),
+        lengths,
+        np.array(row["train"], bool),
+    )
 
 
-def _context_runs(c: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+@dataclass
+class Levels:
+    """What a block has of each level, and where its tokens are. Contexts are in order of their keys; pairs
+    (context, successor) by context and successor's hash; couples (predecessor, context) by context and
+    predecessor's hash; triples by couple and successor's hash."""
+
+    key: np.ndarray  # of each context
+    contexts: np.ndarray  # its word
+    sizes: np.ndarray  # its pairs
+    successor: np.ndarray
+    count: np.ndarray
+    pair: np.ndarray  # of each token
+    couples: np.ndarray  # of each context
+    predecessor: np.ndarray
+    triples: np.ndarray  # of each couple
+    third: np.ndarray  # the pair of each triple
+    times: np.ndarray
+    triple: np.ndarray  # of each token that is not the first of its text
+    couple: np.ndarray  # of each of these tokens
+    later: np.ndarray  # these tokens
+
+
+def _levels(chain: Chain, weight: np.ndarray | None, order: int) -> Levels:
+    """The distinct entries of all levels up to `order`, and the sums of their tokens' weights."""
+    n = len(chain.key)
+    by_hash = np.argsort(chain.narrow, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[by_hash] = np.arange(n)
+    distinct, pair = np.unique(chain.context * n + rank[chain.word], return_inverse=True)
+    first, second = np.divmod(distinct, n)
+    second = by_hash[second]
+    heads = _context_runs(first)
+    contexts, sizes = first[heads], np.diff(np.append(heads, len(first)))
+    count = np.bincount(pair, weight, len(distinct)).astype(np.int64)
+    none = np.zeros(0, np.int64)
+    found = Levels(
+        chain.key[contexts], contexts, sizes, chain.narrow[second], count, pair,
+        np.zeros(len(contexts), np.int64), none.astype(np.uint64), none, none, none, none, none, none,
+    )
+    if order < 3:
+        return found
+    # A pair that does not end a text is the couple before the next token.
+    inner = np.flatnonzero(second != chain.end)
+    inner = inner[np.argsort(second[inner] * n + rank[first[inner]])]
+    couple_of = np.full(len(distinct), -1, np.int64)
+    couple_of[inner] = np.arange(len(inner))
+    found.couples = np.bincount(np.searchsorted(contexts, second[inner]), minlength=len(contexts))
+    found.predecessor = chain.narrow[first[inner]]
+    found.later = np.flatnonzero(chain.context != chain.start)
+    found.couple = couple_of[pair[found.later - 1]]
+    each, found.triple = np.unique(found.couple * len(distinct) + pair[found.later], return_inverse=True)
+    owner, found.third = np.divmod(each, max(1, len(distinct)))
+    found.triples = np.bincount(owner, minlength=len(inner))
+    found.times = np.bincount(found.triple, None if weight is None else weight[found.later], len(each)).astype(np.int64)
+    return found
 
 
-def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Ascending in the mixed hash, so a block's contexts of one shard are one run."""
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _context_runs(c: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
 
 
-def _piece_of(successors: np.ndarray, pieces: int) -> np.ndarray:
-    return (successors * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
+@dataclass
+class Cuts:
+    """What has shards of its own, with the number of its pieces and, where pieces share a count, that count in
+    all training documents: contexts cut by ranges of successors (level 2), contexts whose third level is cut
+    by ranges of predecessors, and couples (context, predecessor) cut by ranges of successors."""
 
+    pairs: dict[int, tuple[int, int]] = field(default_factory=dict)
+    triples: dict[int, int] = field(default_factory=dict)
+    couples: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
 
-SENT_SCHEMA = "shard int, block bigint, contexts binary, sizes binary, successors binary, counts binary"
+    def firsts(self, shards: int) -> tuple[dict, dict, dict]:
+        """The first shard of each, behind those of all others."""
+        out, at = [], shards
+        for numbers in ({k: n for k, (n, _) in self.pairs.items()}, self.triples, {k: n for k, (n, _) in self.couples.items()}):
+            out.append({})
+            for key, n in numbers.items():
+                out[-1][key] = at
+                at += n
+        return tuple(out)
 
 
 def _entries(least: int):
@@ -249,12 +424,13 @@ def _entries(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, _, context, word, _, _ = _chain(row)
-                held = (np.bincount(context, minlength=len(words)) >= least)[context]
-                pairs = np.unique(context[held] * len(words) + word[held])
-                c, sizes = np.unique(pairs // len(words), return_counts=True)
+                chain = _chain(row)
+                n, context = len(chain.key), chain.context
+                held = (np.bincount(context, minlength=n) >= least)[context]
+                pairs = np.unique(context[held] * n + chain.word[held])
+                c, sizes = np.unique(pairs // n, return_counts=True)
                 much = sizes >= least
-                key = (mixed(words[c[much]]) >> _ONE).astype(np.int64)
+                key = chain.key[c[much]].astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"context": pa.array(key), "entries": pa.array(sizes[much].astype(np.int64))})
 
     return run
@@ -266,11 +442,10 @@ def _counts_of(keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, doc, context, _, _, train = _chain(row)
-                key = mixed(words) >> _ONE
-                own = np.flatnonzero(np.isin(key, keys))
-                count = np.bincount(context, train[doc], len(words)).astype(np.int64)[own]
-                yield pa.RecordBatch.from_pydict({"context": pa.array(key[own].astype(np.int64)), "count": pa.array(count)})
+                chain = _chain(row)
+                own = np.flatnonzero(np.isin(chain.key, keys))
+                count = np.bincount(chain.context, chain.train[chain.doc], len(chain.key)).astype(np.int64)[own]
+                yield pa.RecordBatch.from_pydict({"context": pa.array(chain.key[own].astype(np.int64)), "count": pa.array(count)})
 
     return run
 
@@ -293,89 +468,237 @@ def large_contexts(blocks: DataFrame, number: int, most: int) -> dict[int, tuple
     return {k: (n, whole.get(k, 0)) for k, n in pieces.items()}
 
 
-def _piece_shards(shards: int, pieces: dict[int, tuple[int, int]]) -> dict[int, int]:
-    """The first shard of each large context, behind those of the others."""
-    firsts, at = {}, shards
-    for key, (n, _) in pieces.items():
-        firsts[key] = at
-        at += n
-    return firsts
+def _triple_entries(least: int):
+    """The contexts and couples of each block with at least so many distinct triples there, and their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chain = _chain(row)
+                n, context = len(chain.key), chain.context
+                much = np.bincount(context, minlength=n) >= least
+                much[chain.start] = False
+                held = np.flatnonzero(much[context])
+                couples, couple = np.unique(context[held] * n + context[held - 1], return_inverse=True)
+                triples = np.unique(couple * n + chain.word[held]) // n
+                sizes = np.bincount(triples, minlength=len(couples))
+                owner, before = np.divmod(couples, n)
+                whole = np.bincount(owner, sizes, n).astype(np.int64)
+                own, large = np.flatnonzero(whole >= least), sizes >= least
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "context": pa.array(np.append(chain.key[own], chain.key[owner[large]]).astype(np.int64)),
+                        "predecessor": pa.array([None] * len(own) + chain.narrow[before[large]].tolist(), pa.int64()),
+                        "entries": pa.array(np.append(whole[own], sizes[large]).astype(np.int64)),
+                    }
+                )
+
+    return run
 
 
-def _send(shards: int, pieces: dict[int, tuple[int, int]]):
-    firsts = _piece_shards(shards, pieces)
-    large = np.array(sorted(pieces), np.uint64)
+def _couple_counts(keys: list[tuple[int, int]]):
+    """The training counts of the given couples in each block."""
+    wanted: dict[int, list[int]] = {}
+    for context, predecessor in keys:
+        wanted.setdefault(context, []).append(predecessor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, doc, context, word, _, train = _chain(row)
-                c, narrow, count, _ = _pairs(words, context, word, train[doc])
-                heads = _context_runs(c)
-                key = mixed(words[c[heads]]) >> _ONE
-                shard = _shard_of(key << _ONE, shards)
-                cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-                ends = np.append(heads, len(c))
-                out = {k.split()[0]: [] for k in SENT_SCHEMA.split(", ")}
-                sizes, own = np.diff(ends), ~np.isin(key, large)
-                inside = np.repeat(own, sizes)
-
-                def put(number, keys, size, successors, counts):
-                    out["shard"].append(int(number))
-                    out["block"].append(row["block"])
-                    out["contexts"].append(keys.astype("<u8").tobytes())
-                    out["sizes"].append(size.astype("<u4").tobytes())
-                    out["successors"].append(successors.astype("<u4").tobytes())
-                    out["counts"].append(counts.astype("<u4").tobytes())
-
-                for a, b in zip(cut, np.append(cut[1:], len(shard))):
-                    x, y = ends[a], ends[b]
-                    if own[a:b].any():
-                        stay = inside[x:y]
-                        put(shard[a], key[a:b][own[a:b]], sizes[a:b][own[a:b]], narrow[x:y][stay], count[x:y][stay])
-                # All pieces are asked, also without successors, for their parts of T.
-                for h in np.flatnonzero(~own):
-                    k, n = int(key[h]), pieces[int(key[h])][0]
-                    x, y = ends[h], ends[h + 1]
-                    borders = x + np.searchsorted(_piece_of(narrow[x:y], n), np.arange(n + 1))
-                    for i, (u, v) in enumerate(zip(borders, borders[1:])):
-                        put(firsts[k] + i, key[h : h + 1], np.array([v - u]), narrow[u:v], count[u:v])
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
+                chain = _chain(row)
+                much = np.isin(chain.key, np.array(sorted(wanted), np.uint64))
+                much[chain.start] = False
+                held = np.flatnonzero(much[chain.context] & chain.train[chain.doc])
+                frame = pd.DataFrame({"context": chain.key[chain.context[held]].astype(np.int64), "predecessor": chain.narrow[chain.context[held - 1]].astype(np.int64)})
+                frame = frame.groupby(["context", "predecessor"]).size().reset_index(name="count")
+                mine = [p in wanted[c] for c, p in zip(frame["context"].tolist(), frame["predecessor"].tolist())]
+                yield pa.RecordBatch.from_pandas(frame[np.array(mine, bool)].astype(np.int64), preserve_index=False)
 
     return run
 
 
-ANSWER_SCHEMA = (
-    "block bigint, shard int, counts binary, distinct binary, shares binary,"
-    " words bigint, tokens bigint, once bigint, twice bigint"
-)
+def large_triples(blocks: DataFrame, number: int, most: int) -> tuple[dict[int, int], dict[tuple[int, int], tuple[int, int]]]:
+    """Contexts whose third level is cut, and the pieces of each; couples that are cut, the pieces of each and
+    its count in all training documents. What is found, and why, is as for `large_contexts`."""
+    least = max(1, most // (2 * max(1, number)))
+    rows = blocks.mapInArrow(_triple_entries(least), "context bigint, predecessor bigint, entries bigint").groupBy("context", "predecessor")
+    found = rows.agg(F.sum("entries").alias("n")).where(F.col("n") > most // 2).orderBy("context", "predecessor").collect()
+    contexts = {r.context: 2 * r.n // most + 1 for r in found if r.predecessor is None}
+    couples = {(r.context, r.predecessor): 2 * r.n // most + 1 for r in found if r.predecessor is not None}
+    if not couples:
+        return contexts, {}
+    counts = blocks.mapInArrow(_couple_counts(list(couples)), "context bigint, predecessor bigint, count bigint")
+    whole = {(r.context, r.predecessor): r.n for r in counts.groupBy("context", "predecessor").agg(F.sum("count").alias("n")).collect()}
+    return contexts, {k: (n, whole.get(k, 0)) for k, n in couples.items()}
 
 
-def _answer(frame: pd.DataFrame, shards: int, pieces: dict[int, tuple[int, int]]) -> pd.DataFrame:
-    """All blocks' pairs of one shard -> the shard's trie, asked for the same pairs. A shard from number
-    `shards` on is a piece of one context."""
+def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Ascending in the mixed hash, so a block's contexts of one shard are one run."""
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _piece_of(successors: np.ndarray, pieces: int) -> np.ndarray:
+    return (successors * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
+
+
+@dataclass
+class Unit:
+    """What a block asks of one shard: numbers of entries in the block's levels, and their sizes there."""
+
+    shard: int
+    contexts: np.ndarray
+    sizes: np.ndarray
+    pairs: np.ndarray
+    couples_of: np.ndarray
+    couples: np.ndarray
+    triples_of: np.ndarray
+    triples: np.ndarray
+    second: bool = True  # whether the pairs are asked, or are only there for the triples
+
+
+def _units(found: Levels, shards: int, cuts: Cuts) -> Iterator[Unit]:
+    """All requests of a block, in the same order whenever they are made."""
+    none = np.zeros(0, np.int64)
+    pair_firsts, triple_firsts, couple_firsts = cuts.firsts(shards)
+    own = ~np.isin(found.key, np.array(sorted(cuts.pairs), np.uint64))
+    whole = ~np.isin(found.key, np.array(sorted(cuts.triples), np.uint64))
+    pairs, couples = np.append(0, np.cumsum(found.sizes)), np.append(0, np.cumsum(found.couples))
+    triples = np.append(0, np.cumsum(found.triples)).astype(np.int64)
+    shard = _shard_of(found.key << _ONE, shards)
+    heads = _context_runs(shard)
+    for a, b in zip(heads.tolist(), np.append(heads[1:], len(shard)).tolist()):
+        if own[a:b].any():
+            x, y = couples[a], couples[b]
+            thirds = np.repeat(whole[a:b], found.couples[a:b])
+            yield Unit(
+                int(shard[a]),
+                a + np.flatnonzero(own[a:b]),
+                found.sizes[a:b][own[a:b]],
+                pairs[a] + np.flatnonzero(np.repeat(own[a:b], found.sizes[a:b])),
+                np.where(whole[a:b], found.couples[a:b], 0)[own[a:b]],
+                x + np.flatnonzero(thirds),
+                found.triples[x:y][thirds],
+                triples[x] + np.flatnonzero(np.repeat(thirds, found.triples[x:y])),
+            )
+    # All pieces of a context or couple are asked, also without successors, for their parts of T.
+    for h in np.flatnonzero(~own).tolist():
+        key = int(found.key[h])
+        n = cuts.pairs[key][0]
+        borders = pairs[h] + np.searchsorted(_piece_of(found.successor[pairs[h] : pairs[h + 1]], n), np.arange(n + 1))
+        for i, (u, v) in enumerate(zip(borders, borders[1:])):
+            yield Unit(pair_firsts[key] + i, np.array([h]), np.array([v - u]), np.arange(u, v), np.zeros(1, np.int64), none, none, none)
+    large: dict[int, list[int]] = {}
+    for key, predecessor in cuts.couples:
+        large.setdefault(key, []).append(predecessor)
+    for h in np.flatnonzero(~whole & (found.couples > 0)).tolist():
+        key, x, y = int(found.key[h]), couples[h], couples[h + 1]
+        before = found.predecessor[x:y]
+        apart = np.isin(before, np.array(large.get(key, []), np.uint64))
+        n = cuts.triples[key]
+        borders = np.searchsorted(_piece_of(before, n), np.arange(n + 1))
+        parts = []
+        for i, (u, v) in enumerate(zip(borders, borders[1:])):
+            mine = x + u + np.flatnonzero(~apart[u:v])
+            if len(mine):
+                inside = np.repeat(~apart[u:v], found.triples[x + u : x + v])
+                parts.append((triple_firsts[key] + i, mine, found.triples[mine], triples[x + u] + np.flatnonzero(inside)))
+        for j in (x + np.flatnonzero(apart)).tolist():
+            couple = (key, int(found.predecessor[j]))
+            n = cuts.couples[couple][0]
+            after = found.successor[found.third[triples[j] : triples[j + 1]]]
+            borders = triples[j] + np.searchsorted(_piece_of(after, n), np.arange(n + 1))
+            parts += [(couple_firsts[couple] + i, np.array([j]), np.array([v - u]), np.arange(u, v)) for i, (u, v) in enumerate(zip(borders, borders[1:]))]
+        for number, mine, sizes, inside in parts:
+            needed = np.unique(found.third[inside])
+            yield Unit(number, np.array([h]), np.array([len(needed)]), needed, np.array([len(mine)]), mine, sizes, inside, False)
+
+
+SENT_SCHEMA = "shard int, block bigint, request binary"
+
+
+def _request(found: Levels, unit: Unit) -> bytes:
+    # A triple names its pair by the number among its context's pairs.
+    third, starts = found.third[unit.triples], np.cumsum(unit.sizes) - unit.sizes
+    place = np.searchsorted(unit.pairs, third)
+    number = place - np.repeat(np.repeat(starts, unit.couples_of), unit.triples_of)
+    return _pack(
+        found.key[unit.contexts], unit.sizes, found.successor[unit.pairs], found.count[unit.pairs],
+        unit.couples_of, found.predecessor[unit.couples], unit.triples_of, number, found.times[unit.triples],
+    )
+
+
+def _send(shards: int, cuts: Cuts, order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chain = _chain(row)
+                found = _levels(chain, chain.train[chain.doc], order)
+                sent = [(unit.shard, _request(found, unit)) for unit in _units(found, shards, cuts)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _ in sent], pa.int32()), pa.array([row["block"]] * len(sent), pa.int64()), pa.array([r for _, r in sent], pa.binary())],
+                    [c.split()[0] for c in SENT_SCHEMA.split(", ")],
+                )
+
+    return run
+
+
+ANSWER_SCHEMA = "block bigint, shard int, reply binary, words bigint, tokens bigint, once bigint, twice bigint"
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of each key among them, and the sums of the counts."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, place, np.bincount(place, counts, len(distinct)).astype(np.int64)
+
+
+def _answer(frame: pd.DataFrame, shards: int, cuts: Cuts, order: int) -> pd.DataFrame:
+    """All blocks' entries of one shard -> the shard's trie, asked for the same entries. A shard from number
+    `shards` on is a piece of one context or couple."""
     shard = int(frame["shard"].iloc[0])
-    unpack = lambda column, kind: [np.frombuffer(b, kind) for b in frame[column]]
-    contexts, sizes = unpack("contexts", "<u8"), unpack("sizes", "<u4")
-    successors = [s.astype(np.uint64) for s in unpack("successors", "<u4")]
-    count = np.concatenate(unpack("counts", "<u4")).astype(np.int64)
-    context = np.concatenate([np.repeat(c, s) for c, s in zip(contexts, sizes)])
-    successor = np.concatenate(successors)
-    seen = count > 0
-    context, successor, count = context[seen], successor[seen], count[seen]
-    order = np.lexsort((successor, context))
-    context, successor, count = context[order], successor[order], count[order]
-    new = np.append(True, (context[1:] != context[:-1]) | (successor[1:] != successor[:-1]))[: len(context)]
-    first = np.flatnonzero(new)
-    merged = np.add.reduceat(count, first) if len(first) else count
+    parts = list(zip(*[_unpack(r) for r in frame["request"]]))
+    lengths = [[len(a) for a in parts[k]] for k in (0, 2, 5, 7)]
+    kinds = (np.uint64, np.int64, np.uint64, np.int64, np.int64, np.uint64, np.int64, np.int64, np.int64)
+    key, sizes, successor, count, couples_of, predecessor, triples_of, number, times = (
+        np.concatenate([a.astype(k) for a in p]) for p, k in zip(parts, kinds)
+    )
+    del parts
+    keys, context = np.unique(key, return_inverse=True)
+    entry = np.repeat(np.arange(len(key)), couples_of)  # the context's entry of each couple
+    pairs, pair, count = _summed((np.repeat(context, sizes).astype(np.uint64) << np.uint64(32)) | successor, count)
+    couples, couple = np.unique((context[entry].astype(np.uint64) << np.uint64(32)) | predecessor, return_inverse=True)
+    third = pair[np.repeat((np.cumsum(sizes) - sizes)[entry], triples_of) + number]
+    triples, triple, times = _summed(np.repeat(couple, triples_of) * max(1, len(pairs)) + third, times)
+    del successor, predecessor, number, third
+    owner, third = np.divmod(triples, max(1, len(pairs)))
+    pair_owner, couple_owner = (pairs >> np.uint64(32)).astype(np.int64), (couples >> np.uint64(32)).astype(np.int64)
+    after, before = pairs & np.uint64(0xFFFFFFFF), couples & np.uint64(0xFFFFFFFF)
+    # The trie holds what training documents have.
+    seen, learned = count > 0, times > 0
+    held = np.zeros(len(couples), bool)
+    held[owner[learned]] = True
+    new_pair, new_couple = np.cumsum(seen) - 1, np.cumsum(held) - 1
+    pair_firsts, triple_firsts, couple_firsts = cuts.firsts(shards)
+    whole = whole_couple = None
+    if shard >= shards:
+        if shard >= min(couple_firsts.values(), default=1 << 62):
+            whole_couple = cuts.couples[int(keys[0]), int(before[0])][1]
+        elif shard < min(triple_firsts.values(), default=1 << 62):
+            whole = cuts.pairs[int(keys[0])][1]
     out = []
-    whole = pieces[int(contexts[0][0])][1] if shard >= shards else None
     with tempfile.TemporaryDirectory() as folder:
-        trie = Trie(context[first], successor[first], merged, folder, whole)
-        for block, c, s, w in zip(frame["block"], contexts, sizes, successors):
-            counts, distinct, shares = trie.find(c.copy(), s, w)
-            out.append((block, shard, counts.astype("<u4").tobytes(), distinct.astype("<u4").tobytes(), shares.tobytes(), *[None] * 4))
+        trie = Trie(
+            keys[pair_owner[seen]], after[seen], count[seen], folder, whole,
+            (keys[couple_owner[held]], before[held]) if order > 2 else (),
+            (new_couple[owner[learned]], new_pair[third[learned]], times[learned]), whole_couple,
+        )
+        total, distinct, shares, at, place = trie.find(keys, pair_owner, after)
+        replies = [(total[context], 0), (distinct[context], 0), (shares[pair], 1)]
+        if order > 2:
+            sums, follow, codes = trie.find_thirds(at[couple_owner], before, owner, place[third])
+            replies += [(sums[couple], 2), (follow[couple], 2), (codes[triple], 3)]
+        ends = [np.cumsum(n) for n in lengths]
+        for i, block in enumerate(frame["block"]):
+            out.append((block, shard, _pack(*[a[ends[k][i] - lengths[k][i] : ends[k][i]] for a, k in replies]), *[None] * 4))
         total = np.array(trie.total)
         start = mixed(np.array([START], np.uint64)) >> _ONE
         at = trie.contexts.successor(start)
@@ -384,8 +707,8 @@ def _answer(frame: pd.DataFrame, shards: int, pieces: dict[int, tuple[int, int]]
         del trie
     # The start of a text is no word, and contexts that are cut are counted from their whole counts.
     stats = (len(total), int(total.sum()), int((total == 1).sum()), int((total == 2).sum()))
-    out.append((None, shard, None, None, None, *(stats if shard < shards else (0, 0, 0, 0))))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER_SCHEMA.split(",")]).astype(
+    out.append((None, shard, None, *(stats if shard < shards else (0, 0, 0, 0))))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER_SCHEMA.split(", ")]).astype(
         {k: "Int64" for k in ("block", "words", "tokens", "once", "twice")}
     )
 
@@ -393,58 +716,60 @@ def _answer(frame: pd.DataFrame, shards: int, pieces: dict[int, tuple[int, int]]
 SCORE_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _joined(answers, shards: int, pieces: dict[int, tuple[int, int]], keys: np.ndarray, sizes: np.ndarray):
-    """Counts c and T of a block's contexts and shares of its pairs, in the block's order."""
-    firsts = _piece_shards(shards, pieces)
-    own = ~np.isin(keys, np.array(sorted(pieces), np.uint64))
-    unpack = lambda rows, k, t: np.concatenate([np.zeros(0, t), *[np.frombuffer(a[k], t) for a in rows]])
-    plain = [a for a in answers if a["shard"] < shards]
-    count, distinct, share = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(int(sizes.sum()))
-    count[own], distinct[own] = unpack(plain, "counts", "<u4"), unpack(plain, "distinct", "<u4")
-    share[np.repeat(own, sizes)] = value(unpack(plain, "shares", np.uint8))
-    ends = np.append(0, np.cumsum(sizes))
-    parts = {a["shard"]: a for a in answers if a["shard"] >= shards}
-    for h in np.flatnonzero(~own):
-        number, whole = pieces[int(keys[h])]
-        mine = [parts[firsts[int(keys[h])] + i] for i in range(number)]
-        count[h], distinct[h] = whole, unpack(mine, "distinct", "<u4").astype(np.int64).sum()
-        share[ends[h] : ends[h + 1]] = value(unpack(mine, "shares", np.uint8))
-    return count, distinct, share
-
-
-def _score(texts: int, words: int, tokens: int, lower: float, shards: int, pieces: dict[int, tuple[int, int]]):
+def _joined(answers, found: Levels, shards: int, cuts: Cuts) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of a block's contexts, and of its couples: counts c and T, and shares of their pairs or triples."""
+    replies = {a["shard"]: a["reply"] for a in answers}
+    second = [np.zeros(len(found.key), np.int64), np.zeros(len(found.key), np.int64), np.zeros(len(found.successor))]
+    third = [np.zeros(len(found.predecessor), np.int64), np.zeros(len(found.predecessor), np.int64), np.zeros(len(found.third))]
+    for unit in _units(found, shards, cuts):
+        arrays = _unpack(replies.pop(unit.shard))
+        levels = [(second, unit.contexts, unit.pairs, arrays[:3])] if unit.second else []
+        for level, owners, entries, (count, distinct, codes) in [*levels, *([(third, unit.couples, unit.triples, arrays[3:])] if arrays[3:] else [])]:
+            # Pieces have the same whole count, and their own parts of T.
+            level[0][owners] = np.maximum(level[0][owners], count)
+            level[1][owners] += distinct.astype(np.int64)
+            level[2][entries] = value(codes)
+    return second, third
+
+
+def _weight(count: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """The weight of the lower order; an unknown context leaves all to it."""
+    return np.where(count > 0, distinct / np.maximum(1, count + distinct), 1.0)
+
+
+def _score(texts: int, words: int, tokens: int, lower: float, shards: int, cuts: Cuts, order: int):
     """Blocks with their answers -> scores. texts: training documents, the count of the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = tokens + texts, words + (texts > 0)
         for batch in batches:
             for row in batch.to_pylist():
-                names, doc, context, word, lengths, train = _chain(row)
-                c, _, _, pair = _pairs(names, context, word, None)
-                heads = _context_runs(c)
-                answers = sorted(row["answers"], key=lambda a: a["shard"])
-                keys = mixed(names[c[heads]]) >> _ONE
-                found = _joined(answers, shards, pieces, keys, np.diff(np.append(heads, len(c))))
-                count = np.zeros(len(names), np.int64)
-                weight = np.ones(len(names))
-                count[c[heads]] = found[0]
-                # An unknown context leaves all to the lower order.
-                weight[c[heads]] = np.where(found[0] > 0, found[1] / np.maximum(1, found[0] + found[1]), 1.0)
-                share = (1.0 - weight[context]) * found[2][pair]
-                count[-1] = texts
-                own = count[word]
+                chain = _chain(row)
+                found = _levels(chain, None, order)
+                (total, distinct, shares), (sums, follow, thirds) = _joined(row["answers"], found, shards, cuts)
+                count = np.zeros(len(chain.key), np.int64)
+                weight = np.ones(len(chain.key))
+                count[found.contexts] = total
+                weight[found.contexts] = _weight(total, distinct)
+                share = (1.0 - weight[chain.context]) * shares[found.pair]
+                count[chain.end] = texts
+                own = count[chain.word]
                 base = np.log10((own + 1) / (n + v + 1))
                 unigram = np.where(own > 0, np.maximum(own - lower, 1e-3), max(lower * v, 1e-3)) / n if n else np.ones(len(own))
-                score = np.log10(np.minimum(1.0, share + weight[context] * unigram))
-                size = len(lengths)
+                p = share + weight[chain.context] * unigram
+                if order > 2:
+                    back = _weight(sums, follow)[found.couple]
+                    p[found.later] = (1.0 - back) * thirds[found.triple] + back * p[found.later]
+                score = np.log10(np.minimum(1.0, p))
+                size = len(chain.lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(~train),
-                        pa.array(lengths + 1),
-                        pa.array(np.bincount(doc, own > 0, size).astype(np.int64)),
-                        pa.array(np.bincount(doc, base, size)),
-                        pa.array(np.bincount(doc, score, size)),
+                        pa.array(~chain.train),
+                        pa.array(chain.lengths + 1),
+                        pa.array(np.bincount(chain.doc, own > 0, size).astype(np.int64)),
+                        pa.array(np.bincount(chain.doc, base, size)),
+                        pa.array(np.bincount(chain.doc, score, size)),
                     ],
                     [k.split()[0] for k in SCORE_SCHEMA.split(", ")],
                 )
@@ -452,22 +777,26 @@ def _score(texts: int, words: int, tokens: int, lower: float, shards: int, piece
     return run
 
 
-def score_documents(docs: DataFrame, train: F.Column, scratch: Scratch) -> DataFrame:
-    """Score all texts by a model of those with `train`: see the columns of SCORE_SCHEMA."""
-    spark = docs.sparkSession
+def score_documents(docs: DataFrame, train: F.Column, scratch: Scratch, order: int = 2) -> DataFrame:
+    """Score all texts by a model of those with `train`, of word pairs or (order 3) of triples too: see the
+    columns of SCORE_SCHEMA."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: the trie has two or three levels")
     blocks = scratch.save(
         docs.select(F.col("doc_id").cast("bigint"), train.alias("train"), "text").mapInArrow(_blocks, BLOCK_SCHEMA)
     )
-    size = blocks.agg(
-        F.sum(F.octet_length("codes") / 4), F.sum(F.size(F.filter("train", lambda x: x))), F.count(F.lit(1))
-    ).first()
+    size = blocks.agg(F.sum("tokens"), F.sum(F.size(F.filter("train", lambda x: x))), F.count(F.lit(1))).first()
     shards = int(size[0] or 0) // SHARD_TOKENS + 1
     texts = int(size[1] or 0)
     pieces = large_contexts(blocks, size[2], PIECE_ENTRIES)
+    cuts = Cuts(pieces)
+    if order > 2:
+        cuts.triples, cuts.couples = large_triples(blocks, size[2], PIECE_ENTRIES)
+        cuts.triples = {k: 1 for k in pieces} | cuts.triples
     answers = scratch.save(
-        blocks.mapInArrow(_send(shards, pieces), SENT_SCHEMA)
+        blocks.mapInArrow(_send(shards, cuts, order), SENT_SCHEMA)
         .groupBy("shard")
-        .applyInPandas(lambda frame: _answer(frame, shards, pieces), ANSWER_SCHEMA)
+        .applyInPandas(lambda frame: _answer(frame, shards, cuts, order), ANSWER_SCHEMA)
     )
     words, tokens, once, twice = (
         int(x or 0)
@@ -478,14 +807,12 @@ def score_documents(docs: DataFrame, train: F.Column, scratch: Scratch) -> DataF
     words, tokens = words + len(cut), tokens + sum(cut)
     once, twice = once + cut.count(1), twice + cut.count(2)
     lower = once / (once + 2 * twice) if once and twice else 0.75
-    replies = answers.where("block is not null").groupBy("block").agg(
-        F.collect_list(F.struct("shard", "counts", "distinct", "shares")).alias("answers")
-    )
-    scored = blocks.join(replies, "block").mapInArrow(_score(texts, words, tokens, lower, shards, pieces), SCORE_SCHEMA)
+    replies = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "reply")).alias("answers"))
+    scored = blocks.join(replies, "block").mapInArrow(_score(texts, words, tokens, lower, shards, cuts, order), SCORE_SCHEMA)
     return scored.withColumn("train_tokens", F.lit(tokens + texts).cast("long"))
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
-    return score_documents(docs, train, Scratch(spark))
+    return score_documents(docs, train, Scratch(spark), ORDER)
