@@ -141,8 +141,11 @@ def code(x: np.ndarray) -> np.ndarray:
     return (1 + np.rint((y - LOWEST) / -LOWEST * 254)).astype(np.uint8)
 
 
+_VALUES = np.append(0.0, 10 ** (LOWEST + np.arange(255.0) / 254 * -LOWEST))
+
+
 def value(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes == 0, 0.0, 10 ** (LOWEST + (codes.astype(np.float64) - 1) / 254 * -LOWEST))
+    return _VALUES[codes]
 
 
 class Trie:
@@ -252,22 +255,38 @@ class Trie:
 _ZSTD = pa.Codec("zstd")
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers from 0 as planes of bytes of as few bytes as they need, compressed together."""
-    arrays = [np.ascontiguousarray(a, np.min_scalar_type(int(a.max())) if len(a) else np.uint8) for a in arrays]
-    head = np.array([len(arrays)] + [x for a in arrays for x in (len(a), a.itemsize)], "<u4").tobytes()
-    body = b"".join([head, *[a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]])
+def _pack(*groups: list[np.ndarray]) -> bytes:
+    """Arrays of numbers from 0 in groups of a like size: each group as planes of bytes, of as few bytes as its
+    numbers need, all compressed together."""
+    head, planes = [len(groups)], []
+    for group in groups:
+        all_of = np.concatenate(group)
+        top = int(all_of.max()) if len(all_of) else 0
+        size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+        planes.append(all_of.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes())
+        head += [size, len(group), *map(len, group)]
+    body = b"".join([np.array(head, "<u4").tobytes(), *planes])
     return len(body).to_bytes(4, "little") + _ZSTD.compress(body, asbytes=True)
 
 
 def _unpack(packed: bytes) -> list[np.ndarray]:
-    body = _ZSTD.decompress(packed[4:], int.from_bytes(packed[:4], "little"), asbytes=True)
+    """The arrays of all groups."""
+    body = memoryview(_ZSTD.decompress(packed[4:], int.from_bytes(packed[:4], "little"), asbytes=True))
     number = int.from_bytes(body[:4], "little")
-    at, out = 4 + 8 * number, []
-    for n, size in np.frombuffer(body, "<u4", 2 * number, 4).reshape(-1, 2).tolist():
+    head, at, groups, out = body[: len(body) // 4 * 4].cast("I"), 1, [], []
+    for _ in range(number):
+        groups.append((head[at], head[at + 2 : at + 2 + head[at + 1]].tolist()))
+        at += 2 + head[at + 1]
+    at *= 4
+    for size, lengths in groups:
+        n = sum(lengths)
         planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(n))
+        all_of = planes.T.copy().view(f"<u{size}").reshape(n)
         at += n * size
+        first = 0
+        for length in lengths:
+            out.append(all_of[first : first + length])
+            first += length
     return out
 
 
@@ -292,7 +311,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "doc_ids": [batch.column(0).to_pylist()],
                 "train": [batch.column(1).to_pylist()],
                 "tokens": [len(hashes)],
-                "chains": [_pack(words[order], np.diff(before), rank[codes])],
+                "chains": [_pack([words[order]], [np.diff(before)], [rank[codes]])],
             },
             schema=pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("tokens", pa.int64()), ("chains", pa.binary())]),
         )
@@ -498,9 +517,9 @@ def _triple_entries(least: int):
 
 def _couple_counts(keys: list[tuple[int, int]]):
     """The training counts of the given couples in each block."""
-    wanted: dict[int, list[int]] = {}
+    wanted: dict[int, set[int]] = {}
     for context, predecessor in keys:
-        wanted.setdefault(context, []).append(predecessor)
+        wanted.setdefault(context, set()).add(predecessor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -613,6 +632,24 @@ def _units(found: Levels, shards: int, cuts: Cuts) -> Iterator[Unit]:
             yield Unit(number, np.array([h]), np.array([len(needed)]), needed, np.array([len(mine)]), mine, sizes, inside, False)
 
 
+def _steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ascending numbers as the first of each run and the steps behind it, which are smaller."""
+    if len(sizes) == 1:
+        return np.diff(values, prepend=np.uint64(0))
+    steps = values.copy()
+    steps[1:] -= values[:-1]
+    heads = (np.cumsum(sizes) - sizes)[sizes > 0]
+    steps[heads] = values[heads]
+    return steps
+
+
+def _runs(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of such steps; sums wrap around, which takes nothing from their differences."""
+    sums = np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
+    heads = (np.cumsum(sizes) - sizes)[sizes > 0]
+    return sums - np.repeat(sums[heads] - steps[heads].astype(np.uint64), sizes[sizes > 0])
+
+
 SENT_SCHEMA = "shard int, block bigint, request binary"
 
 
@@ -622,9 +659,10 @@ def _request(found: Levels, unit: Unit) -> bytes:
     place = np.searchsorted(unit.pairs, third)
     number = place - np.repeat(np.repeat(starts, unit.couples_of), unit.triples_of)
     return _pack(
-        found.key[unit.contexts], unit.sizes, found.successor[unit.pairs], found.count[unit.pairs],
-        unit.couples_of, found.predecessor[unit.couples], unit.triples_of, number, found.times[unit.triples],
-    )
+        [_steps(found.key[unit.contexts], np.array([len(unit.contexts)]))],
+        [_steps(found.successor[unit.pairs], unit.sizes), _steps(found.predecessor[unit.couples], unit.couples_of)],
+        [unit.sizes, found.count[unit.pairs], unit.couples_of, unit.triples_of, number, found.times[unit.triples]],
+    )
 
 
 def _send(shards: int, cuts: Cuts, order: int):
@@ -642,13 +680,14 @@ def _send(shards: int, cuts: Cuts, order: int):
     return run
 
 
+#: A reply has c - T (mostly 0) and T of contexts, the same of couples, shares of pairs, and of triples.
 ANSWER_SCHEMA = "block bigint, shard int, reply binary, words bigint, tokens bigint, once bigint, twice bigint"
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the place of each key among them, and the sums of the counts."""
     distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, place, np.bincount(place, counts, len(distinct)).astype(np.int64)
+    return distinct, place.astype(np.int32), np.bincount(place, counts, len(distinct)).astype(np.int64)
 
 
 def _answer(frame: pd.DataFrame, shards: int, cuts: Cuts, order: int) -> pd.DataFrame:
@@ -656,25 +695,36 @@ def _answer(frame: pd.DataFrame, shards: int, cuts: Cuts, order: int) -> pd.Data
     `shards` on is a piece of one context or couple."""
     shard = int(frame["shard"].iloc[0])
     parts = list(zip(*[_unpack(r) for r in frame["request"]]))
-    lengths = [[len(a) for a in parts[k]] for k in (0, 2, 5, 7)]
-    kinds = (np.uint64, np.int64, np.uint64, np.int64, np.int64, np.uint64, np.int64, np.int64, np.int64)
-    key, sizes, successor, count, couples_of, predecessor, triples_of, number, times = (
+    lengths = [np.array([len(a) for a in parts[k]]) for k in (0, 1, 2, 7)]
+    kinds = (np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.int64, np.uint32, np.uint32, np.uint32)
+    key, successor, predecessor, sizes, count, couples_of, triples_of, number, times = (
         np.concatenate([a.astype(k) for a in p]) for p, k in zip(parts, kinds)
     )
     del parts
-    keys, context = np.unique(key, return_inverse=True)
+    # Entries by the million: what is used up goes at once, and places are narrow.
+    keys, context = np.unique(_runs(key, lengths[0]), return_inverse=True)
+    owner = np.repeat(context, sizes).astype(np.uint64) << np.uint64(32)
+    pairs, pair, count = _summed(owner | _runs(successor, sizes), count)
+    del owner, successor
     entry = np.repeat(np.arange(len(key)), couples_of)  # the context's entry of each couple
-    pairs, pair, count = _summed((np.repeat(context, sizes).astype(np.uint64) << np.uint64(32)) | successor, count)
-    couples, couple = np.unique((context[entry].astype(np.uint64) << np.uint64(32)) | predecessor, return_inverse=True)
-    third = pair[np.repeat((np.cumsum(sizes) - sizes)[entry], triples_of) + number]
-    triples, triple, times = _summed(np.repeat(couple, triples_of) * max(1, len(pairs)) + third, times)
-    del successor, predecessor, number, third
-    owner, third = np.divmod(triples, max(1, len(pairs)))
-    pair_owner, couple_owner = (pairs >> np.uint64(32)).astype(np.int64), (couples >> np.uint64(32)).astype(np.int64)
-    after, before = pairs & np.uint64(0xFFFFFFFF), couples & np.uint64(0xFFFFFFFF)
+    owner = context[entry].astype(np.uint64) << np.uint64(32)
+    couples, couple = np.unique(owner | _runs(predecessor, couples_of), return_inverse=True)
+    couple = couple.astype(np.int32)
+    del owner, predecessor
+    third = np.repeat((np.cumsum(sizes) - sizes)[entry].astype(np.int32), triples_of)
+    third += number.astype(np.int32)
+    del entry, number
+    third = np.repeat(couple.astype(np.int64), triples_of) * max(1, len(pairs)) + pair[third]
+    triples, triple, times = _summed(third, times)
+    del third, triples_of
+    owner, third = (a.astype(np.int32) for a in np.divmod(triples, max(1, len(pairs))))
+    del triples
+    pair_owner, couple_owner = (pairs >> np.uint64(32)).astype(np.int32), (couples >> np.uint64(32)).astype(np.int32)
+    after, before = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), (couples & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    del pairs, couples
     # The trie holds what training documents have.
     seen, learned = count > 0, times > 0
-    held = np.zeros(len(couples), bool)
+    held = np.zeros(len(before), bool)
     held[owner[learned]] = True
     new_pair, new_couple = np.cumsum(seen) - 1, np.cumsum(held) - 1
     pair_firsts, triple_firsts, couple_firsts = cuts.firsts(shards)
@@ -692,13 +742,15 @@ def _answer(frame: pd.DataFrame, shards: int, cuts: Cuts, order: int) -> pd.Data
             (new_couple[owner[learned]], new_pair[third[learned]], times[learned]), whole_couple,
         )
         total, distinct, shares, at, place = trie.find(keys, pair_owner, after)
-        replies = [(total[context], 0), (distinct[context], 0), (shares[pair], 1)]
+        counts, shares = [((total - distinct)[context], 0), (distinct[context], 0)], [(shares[pair], 1)]
         if order > 2:
             sums, follow, codes = trie.find_thirds(at[couple_owner], before, owner, place[third])
-            replies += [(sums[couple], 2), (follow[couple], 2), (codes[triple], 3)]
-        ends = [np.cumsum(n) for n in lengths]
+            counts += [((sums - follow)[couple], 2), (follow[couple], 2)]
+            shares += [(codes[triple], 3)]
+        borders = [np.append(0, np.cumsum(n)).tolist() for n in lengths]
         for i, block in enumerate(frame["block"]):
-            out.append((block, shard, _pack(*[a[ends[k][i] - lengths[k][i] : ends[k][i]] for a, k in replies]), *[None] * 4))
+            reply = _pack(*[[a[borders[k][i] : borders[k][i + 1]] for a, k in group] for group in (counts, shares)])
+            out.append((block, shard, reply, *[None] * 4))
         total = np.array(trie.total)
         start = mixed(np.array([START], np.uint64)) >> _ONE
         at = trie.contexts.successor(start)
@@ -723,11 +775,14 @@ def _joined(answers, found: Levels, shards: int, cuts: Cuts) -> tuple[list[np.nd
     third = [np.zeros(len(found.predecessor), np.int64), np.zeros(len(found.predecessor), np.int64), np.zeros(len(found.third))]
     for unit in _units(found, shards, cuts):
         arrays = _unpack(replies.pop(unit.shard))
-        levels = [(second, unit.contexts, unit.pairs, arrays[:3])] if unit.second else []
-        for level, owners, entries, (count, distinct, codes) in [*levels, *([(third, unit.couples, unit.triples, arrays[3:])] if arrays[3:] else [])]:
-            # Pieces have the same whole count, and their own parts of T.
-            level[0][owners] = np.maximum(level[0][owners], count)
-            level[1][owners] += distinct.astype(np.int64)
+        half = len(arrays) // 3 * 2
+        levels = [(second, unit.contexts, unit.pairs, (*arrays[:2], arrays[half]))] if unit.second else []
+        if half > 2:
+            levels.append((third, unit.couples, unit.triples, (*arrays[2:4], arrays[5])))
+        for level, owners, entries, (rest, distinct, codes) in levels:
+            distinct = distinct.astype(np.int64)
+            level[0][owners] = np.maximum(level[0][owners], rest + distinct)
+            level[1][owners] += distinct
             level[2][entries] = value(codes)
     return second, third
 
