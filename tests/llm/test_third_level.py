@@ -96,3 +96,17 @@ def test_packed_arrays_and_single_asks():
     for asked in (values[::10], values):  # by selection, and in order
         assert (coded.successor(asked + np.uint64(1)) == np.searchsorted(values, asked + np.uint64(1))).all()
         assert (coded.access(np.arange(len(asked))) == values[: len(asked)]).all()
+
+
+def test_triples_of_few_texts(spark):
+    def scores(rows, learned):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        return {x.doc_id: x for x in ngram_trie.score_documents(docs, F.lit(learned), Scratch(spark), 3).collect()}
+
+    assert not scores([], True)
+    nulls = scores([(1, None), (2, ""), (3, " \n")], True)
+    assert len(nulls) == 3 and all(x.n_tokens == x.n_known == 1 and x.train_tokens == 3 for x in nulls.values())
+    unlearned = scores([(1, "a b c"), (2, None)], False)
+    assert [(x.n_tokens, x.n_known, x.train_tokens, x.held_out) for x in (unlearned[1], unlearned[2])] == [(4, 0, 0, True), (1, 0, 0, True)]
+    with pytest.raises(ValueError):
+        ngram_trie.score_documents(spark.createDataFrame([], "doc_id bigint, text string"), F.lit(True), Scratch(spark), 4)
